@@ -2,7 +2,8 @@
 
 Rows are partitioned by attribute into narrow tables that hold the typed value and the state of
 each cell, all of them hash-partitioned by entity, and combined through a balanced tree of outer
-joins on the entity.
+joins on the entity with FAN tables at each node. Each inner node is written out: a single stage
+that joins all tables would hold a sort buffer for each of them at once.
 
 Defined results
 - attribute names: case, surrounding blanks, blanks and hyphens don't matter; names that the type
@@ -21,13 +22,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.session import written
+from tessella.session import cut, written
 
 #: The texts that stand for a missing value.
 MISSING = ["", "nan", "none", "n/a"]
 
 SPARK_TYPES = {"string": "string", "double": "double", "bigint": "bigint", "boolean": "boolean", "timestamp": "timestamp_ntz"}
 
+#: Tables that one node of the tree joins; a task holds so many sorted inputs at once, and one more.
+FAN = 5
 #: Attributes become columns of one plan; more than this need several calls.
 MAX_ATTRIBUTES = 2_000
 
@@ -103,16 +106,22 @@ def cells(rows: DataFrame, types: Mapping[str, str]) -> DataFrame:
     schema = T.StructType([f for f in clean.schema.fields if f.name != "_attr"]).add("_attr", "string")
     # rebalance: files of even size per attribute, a hot attribute is split over many
     base = spark.read.schema(schema).parquet(written(clean.hint("rebalance", F.col("_attr")), ["_attr"]))
-    spine = base.select("entity_id").distinct()
+    spine = cut(base.select("entity_id").distinct())
 
     def tree(names: list[str]) -> DataFrame:
-        if len(names) == 1:
-            own = narrow_table(base.filter(F.col("_attr") == names[0]), types[names[0]]).withColumnRenamed("_cell", names[0])
-            return spine.join(own, "entity_id", "left")
-        half = len(names) // 2
-        # both sides hold every entity once, so this is the outer join of the two halves; as a left
-        # join it keeps the partitioning by entity and needs no further exchange
-        return tree(names[:half]).join(tree(names[half:]), "entity_id", "left")
+        if len(names) <= FAN:
+            # every node holds all entities, each once, so these are the outer joins of its tables;
+            # as left joins they keep the partitioning by entity from one to the next
+            node = spine
+            for n in names:
+                node = node.join(narrow_table(base.filter(F.col("_attr") == n), types[n]).withColumnRenamed("_cell", n), "entity_id", "left")
+            return node
+        step = -(-len(names) // FAN)
+        parts = [cut(tree(names[i : i + step])) for i in range(0, len(names), step)]
+        node = parts[0]
+        for p in parts[1:]:
+            node = node.join(p, "entity_id", "left")
+        return node
 
     return tree(list(types)) if types else spine
 
