@@ -232,7 +232,7 @@ def readable_files(records: DataFrame) -> DataFrame:
 
 def changes(records: DataFrame) -> DataFrame:
     """Every change of a top-level field against the preceding readable file of the track."""
-    runs = sorted_runs(readable_files(records).select("track", "written_at", "file_id", "header"), ["track"], ["written_at", "file_id"])
+    runs = sorted_runs(readable_files(records).select("track", "written_at", "file_id", "header"), ["track"], ["written_at", "file_id"], in_place=True)
 
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         # the last file's fields, and of each field ever seen what the partition knows of it

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.session import cut
+from tessella.session import cut, written
 
 #: Rows of (partition, group) counts or targets that may be broadcast.
 SMALL_ROWS = 200_000
@@ -34,9 +34,11 @@ def _codes(table: pa.Table | pa.RecordBatch, keys: Sequence[str]) -> np.ndarray:
     return new
 
 
-def sorted_runs(df: DataFrame, keys: Sequence[str], order: Sequence[str], weight: str | None = None) -> DataFrame:
+def sorted_runs(df: DataFrame, keys: Sequence[str], order: Sequence[str], weight: str | None = None, in_place: bool = False) -> DataFrame:
     """df range-partitioned and sorted by keys and order, written out, with columns _pid (the
-    partition) and _end (running weight within partition and group, the row's own included)."""
+    partition) and _end (running weight within partition and group, the row's own included).
+    in_place: reading it gives the very partitions again, in order; else it is a compressed table
+    and only _pid tells the partition."""
     ranged = (
         df.repartitionByRange(*[F.col(c).asc_nulls_first() for c in [*keys, *order]])
         .sortWithinPartitions(*[F.col(c).asc_nulls_first() for c in [*keys, *order]])
@@ -62,7 +64,8 @@ def sorted_runs(df: DataFrame, keys: Sequence[str], order: Sequence[str], weight
             last, total = tuple(batch.column(k)[-1].as_py() for k in keys), int(end[-1])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(end)], names=[*batch.schema.names, "_end"])
 
-    return cut(ranged.mapInArrow(run, schema))
+    out = ranged.mapInArrow(run, schema)
+    return cut(out) if in_place else df.sparkSession.read.schema(schema).parquet(written(out))
 
 
 def offsets(runs: DataFrame, keys: Sequence[str]) -> DataFrame:
