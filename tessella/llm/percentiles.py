@@ -32,8 +32,9 @@ def once(rows: DataFrame, value: str, record: Sequence[str], loaded: str, unique
     unknown = F.lit(False)
     for c in record:
         unknown = unknown | F.col(c).isNull()
-    first = good.groupBy(*record, F.when(unknown, F.col(unique)).alias("_alone")).agg(F.min(F.struct(loaded, unique, value)).alias("_first"))
-    return first.select(*keep, F.col(f"_first.{value}").cast("double").alias("_value"), F.to_date(f"_first.{loaded}").alias("_day"))
+    more = [c for c in keep if c not in record]
+    first = good.groupBy(*record, F.when(unknown, F.col(unique)).alias("_alone")).agg(F.min(F.struct(loaded, unique, value, *more)).alias("_first"))
+    return first.select(*[F.col(f"_first.{c}").alias(c) if c in more else F.col(c) for c in keep], F.col(f"_first.{value}").cast("double").alias("_value"), F.to_date(f"_first.{loaded}").alias("_day"))
 
 
 def day_parts(rows: DataFrame, keys: Sequence[str], value: str, record: Sequence[str], loaded: str = "loaded_at", unique: str = "row_id") -> DataFrame:
