@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.plans import training
+from tessella.plans import crossession, training
 
-_PARTS = [training]
+_PARTS = [training, crossession]
 FLAGSHIP = training.p2_wide
 
 
