@@ -126,11 +126,12 @@ def recorded_units(series: DataFrame, readings: DataFrame) -> DataFrame:
     tries = []
     for k, (code, p) in enumerate(PERIODS.items()):
         wraps, gap, steps, moves = (F.col(c)[k] for c in ("wraps", "gap", "steps", "moves"))
-        usual = F.when(moves > 0, steps / moves)
-        possible = ((F.col("hi") - F.col("lo")) <= p * RANGE_SLACK) & (wraps >= 1) & (moves >= 5) & (wraps <= MOST_WRAPS * (wraps + moves)) & (gap / wraps <= CLOSING_STEPS * usual)
+        usual = F.try_divide(steps, moves)
+        open_ = F.try_divide(gap, wraps)
+        possible = ((F.col("hi") - F.col("lo")) <= p * RANGE_SLACK) & (wraps >= 1) & (moves >= 5) & (wraps <= MOST_WRAPS * (wraps + moves)) & (open_ <= CLOSING_STEPS * usual)
         noted = F.when(F.abs(F.col("circular_period") / p - 1) < 0.03, 3.0).otherwise(0.0)
         # closing the circle within a usual step is what the true unit does
-        fit = -F.greatest(gap / wraps / usual, F.lit(1.0))
+        fit = -F.greatest(F.try_divide(open_, usual), F.lit(1.0))
         # readings on one side of zero must span the circle's own values
         tries.append(F.struct(F.when(possible, fit + 0.02 * (F.col("_text")[k] + noted)).alias("score"), F.lit(code).alias("code"), F.lit(p).alias("period")))
     best = F.array_max(F.filter(F.array(*tries), lambda x: x.score.isNotNull()))

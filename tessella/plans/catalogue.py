@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.plans import crossession, training
+from tessella.plans import crossession, stats, training
 
-_PARTS = [training, crossession]
+_PARTS = [training, crossession, stats]
 FLAGSHIP = training.p2_wide
 
 
