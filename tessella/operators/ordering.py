@@ -26,9 +26,13 @@ def _codes(table: pa.Table | pa.RecordBatch, keys: Sequence[str]) -> np.ndarray:
     new = np.zeros(n, dtype=bool)
     if n:
         new[0] = True
-    for k in keys:
-        column = table.column(k)
-        column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    columns = [table.column(k) for k in keys]
+    columns = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in columns]
+    while columns:
+        column = columns.pop()
+        if pa.types.is_struct(column.type):
+            columns += column.flatten()
+            continue
         codes = column.dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
         new[1:] |= codes[1:] != codes[:-1]
     return new
@@ -126,3 +130,10 @@ def order_statistics(df: DataFrame, keys: Sequence[str], value: str, probs: Sequ
         .withColumn("result", F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(F.col("lo") + (F.col("hi") - F.col("lo")) * (F.col("_h") - F.floor("_h"))))
         .drop("_h")
     )
+
+
+def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], weight: str, name: str = "running") -> DataFrame:
+    """df with the sum of a whole-number weight up to and including each row, in order within keys."""
+    runs = sorted_runs(df, keys, order, weight)
+    off = cut(offsets(runs, keys)).select("_pid", *keys, "_before")
+    return _join(runs, off, ["_pid", *keys]).withColumn(name, F.col("_before") + F.col("_end")).drop("_pid", "_end", "_before")

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.plans import crossession, stats, training
+from tessella.plans import crossession, signals, stats, training
 
-_PARTS = [training, crossession, stats]
+_PARTS = [training, crossession, stats, signals]
 FLAGSHIP = training.p2_wide
 
 
