@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.plans import crossession, signals, stats, training
+from tessella.plans import crossession, geometry, signals, stats, training
 
-_PARTS = [training, crossession, stats, signals]
+_PARTS = [training, crossession, stats, signals, geometry]
 FLAGSHIP = training.p2_wide
 
 
