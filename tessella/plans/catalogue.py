@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.plans import crossession, geometry, signals, stats, training
+from tessella.plans import crossession, geometry, signals, stats, streams, training
 
-_PARTS = [training, crossession, stats, signals, geometry]
+_PARTS = [training, crossession, stats, signals, geometry, streams]
 FLAGSHIP = training.p2_wide
 
 

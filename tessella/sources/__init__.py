@@ -1,0 +1 @@
+"""Readers and writers: array archives, cell-dictionary CSV tables, matching tables, result layout."""
