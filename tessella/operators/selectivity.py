@@ -65,7 +65,7 @@ def best_shift(shifts: DataFrame, window: int) -> DataFrame:
 def stage_shifts(k: int, seed: int = 7, least: int = 0) -> Column:
     """k shifts in [least, n - least), from whole-number arithmetic so that any engine agrees."""
     span = F.greatest(F.col("n") - 2 * least, F.lit(1))
-    return F.transform(F.sequence(F.lit(1), F.lit(k)), lambda i: least + F.pmod(i * 7919 + i * i * 104729 + seed, span))
+    return F.transform(F.sequence(F.lit(1).cast("long"), F.lit(k).cast("long")), lambda i: least + F.pmod(i * 7919 + i * i * 104729 + seed, span))
 
 
 def rank_test(shifts: DataFrame, k: int, top: int = 1, seed: int = 7, least: int = 0) -> DataFrame:
