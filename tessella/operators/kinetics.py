@@ -53,9 +53,9 @@ def nnls(a: np.ndarray, y: np.ndarray, rounds: int = 500) -> np.ndarray:
     return x
 
 
-def onset_amplitudes(df: DataFrame, onsets: DataFrame, fps: float, rise: float = 0.25, decay: float = 2.0) -> DataFrame:
+def onset_amplitudes(df: DataFrame, onsets: DataFrame, fps: float, rise: float = 0.25, decay: float = 2.0, baseline: float = 0.1) -> DataFrame:
     """(key, onset, amplitude): amplitudes of unit-peak double exponentials at the onsets that add up
-    to the signal best. A series and its onsets come whole into one call."""
+    to the signal above its baseline (a quantile) best. A series and its onsets come whole into one call."""
     kind = df.schema["key"].dataType
     schema = T.StructType([T.StructField("key", kind), T.StructField("onset", T.LongType()), T.StructField("amplitude", T.DoubleType())])
     t = np.arange(0, 5 * decay, 1 / fps)
@@ -68,7 +68,7 @@ def onset_amplitudes(df: DataFrame, onsets: DataFrame, fps: float, rise: float =
         x = x.sort_values("t")
         t0, n = int(x["t"].iloc[0]), int(x["t"].iloc[-1] - x["t"].iloc[0]) + 1
         y = np.zeros(n)
-        y[x["t"].to_numpy() - t0] = x["value"].to_numpy() - x["value"].median()
+        y[x["t"].to_numpy() - t0] = x["value"].to_numpy() - x["value"].quantile(baseline)
         starts = np.sort(o["onset"].to_numpy()) - t0
         starts = starts[(starts >= 0) & (starts < n)]
         a = np.zeros((n, len(starts)))
