@@ -33,8 +33,9 @@ from tessella.operators.ordering import sorted_runs
 CONTENT_WEIGHT, NAME_WEIGHT, LEAST = 0.6, 0.4, 0.39
 #: Where contents tell nothing (booleans, nulls), names must be at least this alike.
 LEAST_NAME = 0.3
-#: The likeness of two truth values of one type that are equal, whatever their names.
-WEAK = 0.15
+#: The likeness of two fields of one type of which neither contents nor names tell much: truth
+#: values, and texts or lists that change from file to file anyway or share a part.
+WEAK, SHARED, FEW = 0.15, 0.2, 3
 #: Distinct field names one table may have.
 MAX_FIELDS = 2_000
 #: Words of a field's name that say nothing about its contents.
@@ -89,7 +90,9 @@ def sketch(old: dict | None, v: object) -> dict:
     kind = kind_of(v)
     if kind is None:
         return old or {"type": None}
-    s = {"type": kind, "last": v}
+    s = {"type": kind, "last": v, "seen": 1, "varies": False}
+    if old and old.get("type") == kind:
+        s |= {"seen": old["seen"] + 1, "varies": old["varies"] or old["last"] != v}
     if kind == "number" and math.isfinite(v):
         lo, hi = (old["lo"], old["hi"]) if old and old.get("type") == "number" and "lo" in old else (v, v)
         s |= {"lo": min(lo, v), "hi": max(hi, v)}
@@ -143,10 +146,12 @@ def likeness(old_name: str, s: dict, name: str, v: object) -> float:
     if contents is None:
         if names >= LEAST_NAME:
             return 0.5 + names / 2
-        # truth values: alike when the value stays
-        return WEAK if kind_of(v) is not None and s.get("type") is not None and s["last"] == v else 0.0
+        return WEAK if kind_of(v) is not None and s.get("type") is not None else 0.0
     score = CONTENT_WEIGHT * contents + NAME_WEIGHT * names
-    return score if score >= LEAST else 0.0
+    if score >= LEAST:
+        return score
+    # what stayed the same in every file so far would go on; what varies may be anything
+    return WEAK if s["type"] != "number" and (contents >= SHARED or s["varies"] or s["seen"] < FEW) else 0.0
 
 
 def assign(gain: list[list[float]]) -> list[tuple[int, int]]:
