@@ -122,3 +122,12 @@ def signal_ratio(df: DataFrame, keys: Sequence[str], value: str, on: str) -> Dat
     """Mean value while on over mean value while off; null where there is no off or its mean is 0."""
     m = df.groupBy(*keys).agg(F.avg(F.when(F.col(on), F.col(value))).alias("mean_on"), F.avg(F.when(~F.col(on), F.col(value))).alias("mean_off"))
     return m.withColumn("ratio", F.when(F.col("mean_off") != 0, F.col("mean_on") / F.col("mean_off")))
+
+
+def binary_mi(both: Column, a: Column, b: Column, n: Column) -> Column:
+    """Information in bits between two binary variables, from how often each and both hold among n."""
+
+    def part(o: Column, e: Column) -> Column:
+        return F.when(o > 0, o / n * F.log2(o * n / e)).otherwise(0.0)
+
+    return F.greatest(F.lit(0.0), part(both, a * b) + part(a - both, a * (n - b)) + part(b - both, (n - a) * b) + part(n - a - b + both, (n - a) * (n - b)))

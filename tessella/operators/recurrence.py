@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessella.operators.ordering import global_rank
 from tessella.operators.signal import islands
 
 
@@ -126,3 +127,60 @@ def edge_jaccard(edges: DataFrame) -> DataFrame:
     both = e.withColumnRenamed("key", "key_a").join(e.withColumnRenamed("key", "key_b"), ["a", "b"]).filter(F.col("key_a") < F.col("key_b")).groupBy("key_a", "key_b").agg(F.count("*").alias("_c"))
     s = both.join(size.select(F.col("key").alias("key_a"), F.col("n").alias("_na")), "key_a").join(size.select(F.col("key").alias("key_b"), F.col("n").alias("_nb")), "key_b")
     return s.select("key_a", "key_b", (F.col("_c") / (F.col("_na") + F.col("_nb") - F.col("_c"))).alias("jaccard"))
+
+
+def lagged_information(df: DataFrame, most: int, bins: int) -> DataFrame:
+    """(key, lag, mi): information in bits between a series and itself `lag` places later, over bins
+    of equal size by ordinal rank."""
+    ranked = global_rank(df, ["key"], ["value", "t"], "_r")
+    n = df.groupBy("key").agg(F.count("*").alias("_n"))
+    # bins whose sizes differ by one at most, the first ones larger
+    size, more = F.floor(F.col("_n") / bins), F.pmod("_n", F.lit(bins))
+    cut = (size + 1) * more
+    b = F.when(F.col("_r") < cut, F.floor(F.try_divide(F.col("_r"), size + 1))).otherwise(more + F.floor(F.try_divide(F.col("_r") - cut, size)))
+    x = ranked.join(n, "key").select("key", "t", b.cast("int").alias("b"))
+    later = x.select("key", F.col("t").alias("_t"), F.col("b").alias("c"))
+    p = x.withColumn("lag", F.explode(F.sequence(F.lit(1), F.lit(most)))).withColumn("_t", F.col("t") + F.col("lag")).join(later, ["key", "_t"])
+    joint = p.groupBy("key", "lag", "b", "c").agg(F.count("*").alias("n"))
+    sums = lambda *by: joint.groupBy("key", "lag", *by).agg(F.sum("n").alias("n")).groupBy("key", "lag").agg((F.log2(F.sum("n")) - F.sum(F.col("n") * F.log2("n")) / F.sum("n")).alias("h_" + "".join(by)))
+    h = sums("b").join(sums("c"), ["key", "lag"]).join(sums("b", "c"), ["key", "lag"])
+    return h.select("key", "lag", (F.col("h_b") + F.col("h_c") - F.col("h_bc")).alias("mi"))
+
+
+def choose_delay(lagged: DataFrame) -> DataFrame:
+    """(key, delay): the first local minimum of the lagged information, else the first lag below 1/e
+    of the first, else a third of the lags."""
+    rows = F.array_sort(F.collect_list(F.struct("lag", F.round("mi", 9).alias("mi"))))
+    a = lagged.groupBy("key").agg(rows.alias("_a"))
+    n = F.size("_a")
+    inner = F.filter(F.transform("_a", lambda x, i: F.struct(x["lag"].alias("lag"), x["mi"].alias("m"), F.get("_a", i - 1)["mi"].alias("p"), F.get("_a", i + 1)["mi"].alias("q"))), lambda x: (x["m"] < x["p"]) & (x["m"] < x["q"]))
+    small = F.filter("_a", lambda x: x["mi"] < F.element_at("_a", 1)["mi"] / math.e)
+    return a.select("key", F.coalesce(F.get(inner, F.lit(0))["lag"], F.get(small, F.lit(0))["lag"], F.floor(n / 3)).cast("int").alias("delay"))
+
+
+def false_neighbours(df: DataFrame, most: int, tau: int, ratio: float = 10.0, size: float = 2.0) -> DataFrame:
+    """(key, dim, share): share of points whose nearest neighbour in dim dimensions is false in the
+    next: its distance grows by more than ratio, or lies beyond size deviations. A series, as long
+    as its recording, comes whole into one call."""
+    kind = df.schema["key"].dataType.simpleString()
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = pdf.sort_values("t")["value"].to_numpy()
+        sd, out = x.std(), []
+        for m in range(1, most + 1):
+            n = len(x) - m * tau
+            if n < 3:
+                break
+            e = np.column_stack([x[j * tau : j * tau + n] for j in range(m)])
+            nearest, at = np.full(n, np.inf), np.zeros(n, int)
+            for a in range(0, n, 256):
+                d = np.sqrt(((e[a : a + 256, None, :] - e[None, :, :]) ** 2).sum(axis=2))
+                d[np.arange(len(d)), a + np.arange(len(d))] = np.inf
+                nearest[a : a + 256], at[a : a + 256] = d.min(axis=1), d.argmin(axis=1)
+            grow = np.abs(x[np.arange(n) + m * tau] - x[at + m * tau])
+            far = np.sqrt(nearest**2 + grow**2) > size * sd
+            steep = np.where(nearest > 1e-10, grow / np.maximum(nearest, 1e-10), 0) > ratio
+            out.append((pdf["key"].iloc[0], m, float((far | steep).mean())))
+        return pd.DataFrame(out, columns=["key", "dim", "share"])
+
+    return df.groupBy("key").applyInPandas(run, f"key {kind}, dim int, share double")

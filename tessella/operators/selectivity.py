@@ -139,6 +139,20 @@ def two_stage(scores: DataFrame, key: str, on: str, value: str = "z", first: int
     return one.select("key_a", "key_b", "mi", F.col("rank").alias("pre_rank"), F.col("passed").alias("stage1")).join(two, ["key_a", "key_b"], "left").withColumn("significant", F.coalesce("significant", F.lit(False)))
 
 
+def feature_pairs(scores: DataFrame, key: str, on: str, value: str) -> DataFrame:
+    """(unit, f1, f2, mi_1, mi_2, cmi_1, cmi_2): for each series as a unit and any two others as its
+    features, the Gaussian information of either feature, alone and given the other, in bits."""
+    x = scores.select(F.col(key).alias("unit"), F.col(on).alias("_t"), F.col(value).alias("_x"))
+    a = scores.select(F.col(key).alias("f1"), F.col(on).alias("_t"), F.col(value).alias("_a"))
+    b = scores.select(F.col(key).alias("f2"), F.col(on).alias("_t"), F.col(value).alias("_b"))
+    j = x.join(a, "_t").join(b, "_t").filter((F.col("f1") < F.col("f2")) & (F.col("unit") != F.col("f1")) & (F.col("unit") != F.col("f2")))
+    c = j.groupBy("unit", "f1", "f2").agg(F.corr("_x", "_a").alias("p"), F.corr("_x", "_b").alias("q"), F.corr("_a", "_b").alias("r"))
+    p, q, r = F.col("p"), F.col("q"), F.col("r")
+    bits = lambda k: -0.5 * F.log2(1 - k * k)
+    given = lambda u, v: F.try_divide(u - v * r, F.sqrt((1 - v * v) * (1 - r * r)))
+    return c.select("unit", "f1", "f2", bits(p).alias("mi_1"), bits(q).alias("mi_2"), bits(given(p, q)).alias("cmi_1"), bits(given(q, p)).alias("cmi_2"))
+
+
 def weaker_of_redundant(pairs: DataFrame, cmi: str, mi: str) -> DataFrame:
     """Decision between two features of one unit. The pair's information about the unit, less what
     each alone gives, is averaged over both orders; negative means the features are redundant, and

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.plans import crossession, geometry, models, signals, stats, streams, training
+from tessella.plans import crossession, decisions, geometry, models, signals, stats, streams, training
 
-_PARTS = [training, crossession, stats, signals, geometry, streams, models]
+_PARTS = [training, crossession, stats, signals, geometry, streams, models, decisions]
 FLAGSHIP = training.p2_wide
 
 
