@@ -7,15 +7,20 @@ scores. All sums are partial aggregates, so only counts and moments are shuffled
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessella.functions.special import digamma, normal_ppf
 from tessella.operators.ordering import global_rank
 
 LN2 = math.log(2)
+#: Series between which all correlations are taken at once.
+MOST_SERIES = 4_000
 
 
 def _plogp(counts: DataFrame, by: Sequence[str], name: str) -> DataFrame:
@@ -59,11 +64,43 @@ def normal_scores(df: DataFrame, keys: Sequence[str], value: str, tie: Sequence[
     return ranked.join(n, list(keys)).withColumn("rank", F.col("_place") + 1).withColumn(name, normal_ppf(F.col("rank") / (F.col("_n") + 1))).drop("_place", "_n")
 
 
-def pairs_on(df: DataFrame, key: str, on: str, value: str) -> DataFrame:
-    """(key_a, key_b, x, y) for all series a < b at the same place."""
-    a = df.select(F.col(key).alias("key_a"), F.col(on).alias("_t"), F.col(value).alias("x"))
-    b = df.select(F.col(key).alias("key_b"), F.col(on).alias("_t"), F.col(value).alias("y"))
-    return a.join(b, "_t").filter(F.col("key_a") < F.col("key_b")).withColumnRenamed("_t", on)
+def pair_correlations(df: DataFrame, key: str, on: str, value: str) -> DataFrame:
+    """(key_a, key_b, r, n) for all series a < b over the places that both have.
+
+    The values of a place are one vector; every partition adds up products of its vectors, and only
+    these sums, a matrix row at a time, are shuffled: no pair of rows is ever built. The number of
+    series is checked, since a matrix of their sums must fit a task.
+    """
+    keys = [r[0] for r in df.select(key).filter(F.col(key).isNotNull()).distinct().limit(MOST_SERIES + 1).collect()]
+    if len(keys) > MOST_SERIES:
+        raise ValueError(f"more than {MOST_SERIES} series")
+    keys.sort()
+    at, k = {x: i for i, x in enumerate(keys)}, len(keys)
+    kind = df.schema[key].dataType
+    good = df.filter(F.col(key).isNotNull() & F.col(value).isNotNull() & ~F.isnan(value))
+    rows = good.groupBy(on).agg(F.collect_list(F.struct(F.col(key).alias("k"), F.col(value).cast("double").alias("v"))).alias("x")).select("x")
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((4, k, k))
+        for pdf in batches:
+            x, m = np.zeros((len(pdf), k)), np.zeros((len(pdf), k))
+            for r, cells in enumerate(pdf["x"]):
+                i = [at[c["k"]] for c in cells]
+                x[r, i], m[r, i] = [c["v"] for c in cells], 1.0
+            total += np.stack([m.T @ m, x.T @ m, (x * x).T @ m, x.T @ x])
+        yield pd.DataFrame({"i": np.arange(k), "sums": [total[:, i, :].ravel().tolist() + total[1:3, :, i].ravel().tolist() for i in range(k)]})
+
+    schema = T.StructType([T.StructField("key_a", kind), T.StructField("key_b", kind), T.StructField("r", T.DoubleType()), T.StructField("n", T.LongType())])
+
+    def finish(group: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        i = int(group[0])
+        n, sx, sxx, sxy, sy, syy = np.sum([np.asarray(s) for s in pdf["sums"]], axis=0).reshape(6, k)
+        with np.errstate(all="ignore"):
+            r = (sxy - sx * sy / n) / np.sqrt((sxx - sx * sx / n) * (syy - sy * sy / n))
+        j = [j for j in range(i + 1, k) if n[j] > 0]
+        return pd.DataFrame({"key_a": pd.Series([keys[i]] * len(j), dtype=object), "key_b": pd.Series([keys[x] for x in j], dtype=object), "r": [None if not np.isfinite(r[x]) else float(r[x]) for x in j], "n": [int(n[x]) for x in j]})
+
+    return rows.mapInPandas(add, "i long, sums array<double>").groupBy("i").applyInPandas(finish, schema)
 
 
 def gaussian_bias(n: Column) -> Column:
@@ -76,8 +113,7 @@ def gaussian_mi(r: Column, n: Column) -> Column:
 
 
 def pair_mi(scores: DataFrame, key: str, on: str, value: str = "z") -> DataFrame:
-    p = pairs_on(scores, key, on, value).groupBy("key_a", "key_b").agg(F.corr("x", "y").alias("r"), F.count("*").alias("n"))
-    return p.withColumn("mi", gaussian_mi(F.col("r"), F.col("n")))
+    return pair_correlations(scores, key, on, value).withColumn("mi", gaussian_mi(F.col("r"), F.col("n")))
 
 
 def class_mi(df: DataFrame, keys: Sequence[str], value: str, label: str) -> DataFrame:
@@ -112,7 +148,7 @@ def gaussian_triple(df: DataFrame, x: str, y: str, z: str) -> DataFrame:
 
 
 def correlation_table(df: DataFrame, key: str, on: str, value: str) -> DataFrame:
-    p = pairs_on(df, key, on, value).groupBy("key_a", "key_b").agg(F.corr("x", "y").alias("r"))
+    p = pair_correlations(df, key, on, value).select("key_a", "key_b", "r")
     both = p.unionByName(p.select(F.col("key_b").alias("key_a"), F.col("key_a").alias("key_b"), "r"))
     own = df.select(F.col(key).alias("key_a")).distinct().select("key_a", F.col("key_a").alias("key_b"), F.lit(1.0).alias("r"))
     return both.unionByName(own)

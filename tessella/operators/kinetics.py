@@ -64,7 +64,7 @@ def onset_amplitudes(df: DataFrame, onsets: DataFrame, fps: float, rise: float =
 
     def run(key: tuple, x: pd.DataFrame, o: pd.DataFrame) -> pd.DataFrame:
         if not len(x) or not len(o):
-            return pd.DataFrame({"key": [], "onset": [], "amplitude": []})
+            return pd.DataFrame({"key": pd.Series([], dtype=object), "onset": pd.Series([], dtype="int64"), "amplitude": pd.Series([], dtype=float)})
         x = x.sort_values("t")
         t0, n = int(x["t"].iloc[0]), int(x["t"].iloc[-1] - x["t"].iloc[0]) + 1
         y = np.zeros(n)
