@@ -8,9 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessella.operators.ordering import running_sum
+
 #: The default thresholds of a significant pair.
 ME_LEAST, PVAL_MOST = 0.04, 0.001
 PAIR = ["mouse", "session", "neuron_idx", "feature"]
@@ -160,8 +162,15 @@ def outer_compare(left: DataFrame, right: DataFrame, on: Sequence[str], value: s
 
 
 def forward_fill(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn(value, F.last(value, ignorenulls=True).over(w))
+    """Missing values take the last present one before them within keys, in order (which ends with a
+    unique column); nulls before the first stay. Present values are counted in distributed order,
+    and each count has one value, so no group passes through one task."""
+    counted = running_sum(df.withColumn("_there", F.col(value).isNotNull().cast("long")), keys, order, "_there", "_c")
+    present = counted.filter("_there = 1").select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_c").alias("_k_c"), F.col(value).alias("_v"))
+    cond = F.col("_c") == F.col("_k_c")
+    for k in keys:
+        cond = cond & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    return counted.join(present, cond, "left").withColumn(value, F.col("_v")).select(*df.columns)
 
 
 def every_k(df: DataFrame, position: str, k: int) -> DataFrame:

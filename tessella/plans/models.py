@@ -27,7 +27,7 @@ def _readings(spark, d):
 
 
 def type_features(spark, d):
-    return _r(Y.type_features(_readings(spark, d)), "mean", "std", "skewness", "kurtosis", "integers", nd=5).withColumnRenamed("key", "series_id")
+    return _r(Y.type_features(_readings(spark, d)), "mean", "std", "skewness", "kurtosis", "integers", nd=7).withColumnRenamed("key", "series_id")
 
 
 def series_types(spark, d):
@@ -171,7 +171,7 @@ def oracle_sql():
         return f"WITH {p}, n AS (SELECT a.id AS q, b.id AS i, row_number() OVER (PARTITION BY a.id ORDER BY {h}, b.id) AS rh, row_number() OVER (PARTITION BY a.id ORDER BY {lo}, b.id) AS rl FROM p a JOIN p b ON a.id % 20 = 0 AND a.id <> b.id) SELECT round(greatest(0, 1 - sum(CASE WHEN rh > 10 THEN rh - 10 ELSE 0 END) / (count(DISTINCT q) * 10 * ((SELECT count(*) FROM p) - 11))), 6) AS score FROM n WHERE rl <= 10"
 
     return {
-        "type_features": f"WITH {read_}, m AS (SELECT series_id, avg(v) AS m, stddev_pop(v) AS s FROM r GROUP BY series_id) SELECT series_id, count(*) AS n, count(DISTINCT v) AS n_unique, round(any_value(m), 5) AS mean, round(any_value(s), 5) AS std, min(v) AS lo, max(v) AS hi, round(CASE WHEN any_value(s) > 0 THEN avg(power((v - m) / s, 3)) END, 5) AS skewness, round(CASE WHEN any_value(s) > 0 THEN avg(power((v - m) / s, 4)) - 3 END, 5) AS kurtosis, round(avg(CASE WHEN abs(v - round(v)) < 1e-10 THEN 1.0 ELSE 0.0 END), 5) AS integers FROM r JOIN m USING (series_id) GROUP BY series_id",
+        "type_features": f"WITH {read_}, m AS (SELECT series_id, avg(v) AS m, stddev_pop(v) AS s FROM r GROUP BY series_id) SELECT series_id, count(*) AS n, count(DISTINCT v) AS n_unique, round(any_value(m), 7) AS mean, round(any_value(s), 7) AS std, min(v) AS lo, max(v) AS hi, round(CASE WHEN any_value(s) > 0 THEN avg(power((v - m) / s, 3)) END, 7) AS skewness, round(CASE WHEN any_value(s) > 0 THEN avg(power((v - m) / s, 4)) - 3 END, 7) AS kurtosis, round(avg(CASE WHEN abs(v - round(v)) < 1e-10 THEN 1.0 ELSE 0.0 END), 7) AS integers FROM r JOIN m USING (series_id) GROUP BY series_id",
         "circular_mean_hour": "WITH e AS (SELECT event_type, hour(ts) * 2 * pi() / 24 AS a FROM events) SELECT event_type, round(atan2(avg(sin(a)), avg(cos(a))), 5) AS direction, round(sqrt(power(avg(sin(a)), 2) + power(avg(cos(a)), 2)), 5) AS length FROM e GROUP BY event_type",
         "circular_steps": "WITH s AS (SELECT a.event_id, b.value % 24 - a.value % 24 + 12 AS x FROM events a JOIN events b ON b.event_id = a.event_id + 1) SELECT event_id, round(((x % 24) + 24) % 24 - 12, 6) AS step FROM s",
         "feature_substitution": "SELECT DISTINCT session, CASE WHEN feature IN ('headdirection', 'bodydirection') THEN feature || '_2d' ELSE feature END AS feature FROM selectivity",

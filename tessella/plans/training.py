@@ -50,7 +50,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_radians(spark: SparkSession, d: str) -> DataFrame:
-    return units.in_radians(read(spark, d, "series_types"), read(spark, d, "features"))
+    return units.in_radians(read(spark, d, "series_types"), read(spark, d, "features")).withColumn("radians", F.round("radians", 9))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -116,6 +116,15 @@ wide AS (SELECT entity_id, {latest} FROM best GROUP BY entity_id)
 SELECT ids.entity_id, {", ".join(f'"{n}"' for n in sorted(ATTRIBUTES))} FROM ids LEFT JOIN wide ON ids.entity_id = wide.entity_id"""
 
 
+_UNITS = """codes AS (SELECT * FROM (VALUES ('rad', 2 * pi()), ('deg', 360.0::DOUBLE), ('gon', 400.0::DOUBLE), ('turn', 1.0::DOUBLE), ('hour', 24.0::DOUBLE), ('mil', 6400.0::DOUBLE)) AS c(code, p)),
+good AS (SELECT series_id, t, feat_value AS v FROM features WHERE series_id IS NOT NULL AND feat_value IS NOT NULL AND NOT isnan(feat_value)),
+steps AS (SELECT series_id, v, abs(v - lag(v) OVER (PARTITION BY series_id ORDER BY t, v)) AS d FROM good),
+sums AS (SELECT series_id, code, p, max(v) - min(v) AS span, count(*) FILTER (WHERE d > p / 2) AS wraps, sum(abs(p - d)) FILTER (WHERE d > p / 2) AS gap,
+  sum(d) FILTER (WHERE d <= p / 2) AS walked, count(*) FILTER (WHERE d > 0 AND d <= p / 2) AS moves FROM steps, codes GROUP BY ALL),
+fits AS (SELECT *, (gap / wraps) / (walked / moves) AS fit FROM sums WHERE span <= 1.02 * p AND wraps >= 1 AND moves >= 5 AND wraps <= 0.34 * (wraps + moves)),
+units AS (SELECT series_id, code, p FROM fits WHERE fit <= 6 QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY greatest(fit, 1)) = 1)"""
+
+
 def oracle_sql() -> dict[str, str]:
     metrics = {"pct_selective": "p > 100 OR p < 0", "n_cells": "p < 1", "mi_mean": "p < 0"}
     number = "CASE WHEN isnan(CAST({m} AS DOUBLE)) THEN NULL ELSE CAST({m} AS DOUBLE) END"
@@ -134,6 +143,8 @@ cell AS (
   FROM keyed GROUP BY entity_id, attr_name)
 SELECT entity_id, attr_name, CASE WHEN unreadable THEN 'unreadable' ELSE 'conflict' END AS problem FROM cell WHERE unreadable OR kinds > 1""",
         "p2_wide": _wide_sql(),
+        "p4_found": f"WITH {_UNITS} SELECT series_id, code AS unit_code FROM units WHERE code <> 'rad'",
+        "p4_radians": f"WITH {_UNITS}, once AS (SELECT series_id, t, max(CASE WHEN NOT isnan(feat_value) THEN feat_value END) AS v FROM features GROUP BY ALL) SELECT series_id, t, code AS unit_code, round(v * 2 * pi() / p, 9) AS radians FROM once JOIN units USING (series_id)",
         "p6_found": f"""WITH u AS ({" UNION ALL ".join(parts)}),
 g AS (SELECT metric, quantile_cont(p, 0.5) AS med FROM u GROUP BY metric),
 s AS (SELECT load_id, metric, count(*) AS n, count(*) - count(txt) AS missing, count(DISTINCT txt) AS kinds, bool_or(bad) AS bad, quantile_cont(p, 0.5) AS med FROM u GROUP BY load_id, metric)
