@@ -96,8 +96,9 @@ def selective_counts(fact: DataFrame, k: int | None = None) -> DataFrame:
     if k is not None:
         n = n.filter(F.col("n_sel") == k) if k < 3 else n.filter(F.col("n_sel") >= k)
     counts = n.groupBy("mouse", "session").agg(F.count("*").alias("n"))
-    # the dimension lists: mice times sessions, no rows of the fact
-    grid = fact.select("mouse").distinct().crossJoin(F.broadcast(fact.select("session").distinct()))
+    # the dimension lists: every mouse with the one list of sessions
+    names = fact.agg(F.collect_set("session").alias("_s"))
+    grid = fact.select("mouse").distinct().crossJoin(names).select("mouse", F.explode("_s").alias("session"))
     return grid.join(counts, ["mouse", "session"], "left").na.fill(0, ["n"])
 
 
