@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessella.operators.manifold import moments
+
 #: Landmarks whose distance matrix is held by the driver.
 MOST_LANDMARKS = 4_000
 
@@ -190,3 +192,37 @@ def trustworthiness(high: DataFrame, near_low: DataFrame, k: int) -> DataFrame:
     n = high.agg(F.count("*").alias("_n"))
     total = ranks.agg(F.sum(F.when(F.col("rank") + 1 > k, F.col("rank") + 1 - k).otherwise(0)).alias("_s"), F.count_distinct("query").alias("_q"))
     return total.crossJoin(n).select(F.greatest(F.lit(0.0), 1 - F.try_divide(F.col("_s"), F.col("_q") * k * (F.col("_n") - 1 - k))).alias("score"))
+
+
+def linear_decoder(df: DataFrame, target: str, every: int = 5) -> DataFrame:
+    """(n_train, n_test, r2, mean_error): least squares from features to a target, fitted to the rows
+    whose id isn't divisible by `every` and judged on the others. Only sums of products leave the
+    partitions."""
+    both = df.filter(F.col(target).isNotNull()).select("id", F.concat(F.array(F.lit(1.0)), F.col("features"), F.array(F.col(target).cast("double"))).alias("features"))
+    n, _, g = moments(both.filter(F.col("id") % every != 0))
+    spark = df.sparkSession
+    schema = "n_train long, n_test long, r2 double, mean_error double"
+    if n == 0:
+        return spark.createDataFrame([], schema)
+    d = len(g) - 1
+    beta = np.linalg.lstsq(g[:d, :d] + 1e-9 * np.eye(d), g[:d, d], rcond=None)[0]
+
+    def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            x = np.array(pdf["features"].tolist(), float).reshape(len(pdf), -1)
+            yield pd.DataFrame({"y": x[:, -1], "p": x[:, :-1] @ beta})
+
+    test = both.filter(F.col("id") % every == 0).mapInPandas(predict, "y double, p double")
+    m = test.agg(F.count("*").alias("n_test"), F.avg((F.col("y") - F.col("p")) ** 2).alias("_e"), F.var_pop("y").alias("_v"), F.avg(F.abs(F.col("y") - F.col("p"))).alias("mean_error"))
+    return m.select(F.lit(n).cast("long").alias("n_train"), "n_test", (1 - F.try_divide(F.col("_e"), F.col("_v"))).alias("r2"), "mean_error")
+
+
+def circular_alignment(df: DataFrame, truth: str, decoded: str, steps: int = 360) -> DataFrame:
+    """(offset, reflected, error): the turn, one of `steps`, and reflection of decoded angles that
+    leave the least mean angular error; the first of equals."""
+    grid = df.sparkSession.range(2 * steps).select((F.col("id") % steps * (2 * np.pi / steps)).alias("offset"), (F.col("id") >= steps).alias("reflected"), "id")
+    each = df.select(truth, decoded).filter(F.col(truth).isNotNull() & F.col(decoded).isNotNull()).crossJoin(F.broadcast(grid))  # a fixed grid
+    turned = F.when(F.col("reflected"), -F.col(decoded)).otherwise(F.col(decoded)) + F.col("offset")
+    miss = F.abs(F.pmod(turned - F.col(truth) + np.pi, F.lit(2 * np.pi)) - np.pi)
+    mean = each.groupBy("id", "offset", "reflected").agg(F.avg(miss).alias("error"))
+    return mean.agg(F.min(F.struct(F.round("error", 9).alias("error"), "id", "offset", "reflected")).alias("_b")).select("_b.offset", "_b.reflected", "_b.error")

@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessella.operators.ordering import global_rank
 from tessella.session import cut
 
 #: Nodes of a graph whose matrix may be brought to the driver.
@@ -153,3 +154,21 @@ def spectral_entropy(edges: DataFrame, times: list[float]) -> DataFrame:
         p = w / w.sum() if len(lam) else w
         rows.append((float(t), float(-(p[p > 0] * np.log2(p[p > 0])).sum()), float(np.log2(w.sum())) if len(lam) else 0.0))
     return edges.sparkSession.createDataFrame(rows, "t double, entropy double, free_entropy double")
+
+
+def hyperbolicity(edges: DataFrame, quadruples: int = 100_000, seed: int = 7) -> DataFrame:
+    """(quadruples, mean): Gromov hyperbolicity of hop distances over quadruples of nodes drawn by
+    whole-number arithmetic: half of the greatest less the middle of the three sums of distances.
+    Quadruples with equal nodes or without a path are left out."""
+    nodes = edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+    named = global_rank(nodes, [], ["id"], "k").select("id", "k")
+    d = cut(hops(edges, nodes).join(named.select(F.col("id").alias("source"), F.col("k").alias("i")), "source").join(named.select("id", F.col("k").alias("j")), "id").select("i", "j", "hops"))
+    n = named.agg(F.count("*").alias("n"))
+    draw = edges.sparkSession.range(quadruples).crossJoin(F.broadcast(n))
+    for c, (a, b) in zip("pqrs", ((7919, 104729), (15485863, 611953), (32452843, 49979), (86028121, 15487))):
+        draw = draw.withColumn(c, F.pmod(F.col("id") * a + F.pmod(F.col("id") * F.col("id"), F.lit(1_000_003)) * b + seed, F.col("n")))
+    draw = draw.filter("p <> q and p <> r and p <> s and q <> r and q <> s and r <> s")
+    for x, y in ("pq", "rs", "pr", "qs", "ps", "qr"):
+        draw = draw.join(d.select(F.col("i").alias(x), F.col("j").alias(y), F.col("hops").alias(f"d{x}{y}")), [x, y])
+    sums = F.array_sort(F.array(F.col("dpq") + F.col("drs"), F.col("dpr") + F.col("dqs"), F.col("dps") + F.col("dqr")))
+    return draw.agg(F.count("*").alias("quadruples"), F.avg((sums[2] - sums[1]) / 2).alias("mean"))

@@ -132,8 +132,8 @@ def class_mi(df: DataFrame, keys: Sequence[str], value: str, label: str) -> Data
 
 
 def gaussian_triple(df: DataFrame, x: str, y: str, z: str) -> DataFrame:
-    """Of three normal variables: I(x; y), I(x; y | z), interaction, total and dual total
-    correlation and O-information, without bias terms, from their correlations."""
+    """Of three normal variables: I(x; y), I(x; y | z), I(x; y and z), interaction, total and dual
+    total correlation and O-information, without bias terms, from their correlations."""
     r = df.agg(F.corr(x, y).alias("a"), F.corr(x, z).alias("b"), F.corr(y, z).alias("c"), F.count("*").alias("n"))
     a, b, c = F.col("a"), F.col("b"), F.col("c")
     det = 1 + 2 * a * b * c - a * a - b * b - c * c
@@ -144,7 +144,7 @@ def gaussian_triple(df: DataFrame, x: str, y: str, z: str) -> DataFrame:
     tc = -half(det)
     # dual total correlation: joint entropy less what each variable adds to the other two
     dtc = half(dbc) + half(dac) + half(dab) - 2 * half(det)
-    return r.select("n", mi.alias("mi"), cmi.alias("cmi"), (cmi - mi).alias("interaction"), tc.alias("tc"), dtc.alias("dtc"), (tc - dtc).alias("o_information"))
+    return r.select("n", mi.alias("mi"), cmi.alias("cmi"), (half(dbc) - half(det)).alias("mi_vector"), (cmi - mi).alias("interaction"), tc.alias("tc"), dtc.alias("dtc"), (tc - dtc).alias("o_information"))
 
 
 def correlation_table(df: DataFrame, key: str, on: str, value: str) -> DataFrame:

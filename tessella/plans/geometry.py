@@ -76,6 +76,10 @@ def trade_spectral_entropy(spark, d):
     return _r(N.spectral_entropy(trade(spark, d), [0.1, 1.0, 10.0]), "entropy", "free_entropy")
 
 
+def trade_hyperbolicity(spark, d):
+    return _r(N.hyperbolicity(_strong(spark, d), 20_000), "mean")
+
+
 def _cloud(spark, d):
     p = M.points(read(spark, d, "embeddings"), "vec_id", "embedding")
     return p, p.filter("id % 20 = 0")
@@ -116,7 +120,7 @@ def rdm_comparison(spark, d):
 
 
 _NAMES = [
-    trade_degrees, trade_symmetry, symmetric_edges, asymmetric_edges, trade_components, trade_laplacian, trade_transition, trade_clustering, trade_hops, trade_spectrum, trade_spectral_entropy,
+    trade_degrees, trade_symmetry, symmetric_edges, asymmetric_edges, trade_components, trade_laplacian, trade_transition, trade_clustering, trade_hops, trade_spectrum, trade_spectral_entropy, trade_hyperbolicity,
     knn_search, knn_preservation, nn_dimension, effective_dimension, pca_variances, rdm, rdm_comparison,
 ]
 
@@ -145,6 +149,7 @@ def oracle_sql():
         "trade_transition": f"WITH {_TRADE}, d AS (SELECT dst AS i, sum(w) AS s FROM trade GROUP BY dst) SELECT src AS i, dst AS j, round(w / s, 6) AS p FROM trade JOIN d ON i = src",
         "trade_clustering": f"WITH {_STRONG}, k AS (SELECT x AS id, count(*) AS k FROM n GROUP BY x), t AS (SELECT p.x AS id, count(*) // 2 AS t FROM n p JOIN n q ON p.y = q.x JOIN n r ON q.y = r.x AND r.y = p.x GROUP BY p.x) SELECT k.id, coalesce(t, 0) AS triangles, round(CASE WHEN k > 1 THEN 2.0 * coalesce(t, 0) / (k * (k - 1)) ELSE 0 END, 6) AS coefficient FROM k LEFT JOIN t ON t.id = k.id",
         "trade_hops": f"WITH RECURSIVE {_STRONG}, r AS (SELECT DISTINCT src AS source, src AS id, 0 AS hops FROM strong UNION SELECT r.source, n.y, r.hops + 1 FROM r JOIN n ON r.id = n.x WHERE r.hops < 8) SELECT source, id, min(hops) AS hops FROM r GROUP BY source, id",
+        "trade_hyperbolicity": f"WITH RECURSIVE {_STRONG}, w AS (SELECT src AS id FROM strong UNION SELECT dst FROM strong), k AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS k FROM w), r AS (SELECT id AS source, id, 0 AS hops FROM w UNION SELECT r.source, n.y, r.hops + 1 FROM r JOIN n ON r.id = n.x WHERE r.hops < 8), h AS (SELECT a.k AS i, b.k AS j, min(hops) AS d FROM r JOIN k a ON a.id = r.source JOIN k b ON b.id = r.id GROUP BY ALL), q AS (SELECT " + ", ".join(f"(x * {a} + ((x * x) % 1000003) * {b} + 7) % (SELECT count(*) FROM w) AS {c}" for c, (a, b) in zip("pqrs", ((7919, 104729), (15485863, 611953), (32452843, 49979), (86028121, 15487)))) + " FROM (SELECT unnest(range(20000)) AS x)), s AS (SELECT list_sort([a.d + b.d, c.d + e.d, f.d + g.d]) AS l FROM q JOIN h a ON a.i = p AND a.j = q JOIN h b ON b.i = r AND b.j = s JOIN h c ON c.i = p AND c.j = r JOIN h e ON e.i = q AND e.j = s JOIN h f ON f.i = p AND f.j = s JOIN h g ON g.i = q AND g.j = r WHERE p <> q AND p <> r AND p <> s AND q <> r AND q <> s AND r <> s) SELECT count(*) AS quadruples, round(avg((l[3] - l[2]) / 2), 6) AS mean FROM s",
         "knn_search": f"WITH {_P} SELECT query, id, round(distance, 6) AS distance, rank FROM {near(10)}",
         "knn_preservation": f"WITH {_P}, h AS {near(10)}, l AS {near(10, 'a.f[1:8]', 'b.f[1:8]')} SELECT round((SELECT count(*) FROM h JOIN l USING (query, id)) / (SELECT count(*) FROM h), 6) AS preservation",
         "nn_dimension": f"WITH {_P}, k AS {near(2)}, r AS (SELECT query, max(distance) FILTER (WHERE rank = 2) AS b, max(distance) FILTER (WHERE rank = 1) AS a FROM k GROUP BY query) SELECT count(*) AS n, round(count(*) / sum(ln(b / a)), 4) AS dimension FROM r WHERE a > 0",

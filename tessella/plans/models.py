@@ -137,6 +137,17 @@ def embedding_lle(spark, d):
     return _embedded(spark, d, "lle")
 
 
+def label_decoder(spark, d):
+    e = read(spark, d, "embeddings")
+    p = M.points(e, "vec_id", "embedding").join(e.select(F.col("vec_id").alias("id"), "label"), "id")
+    return _r(E.linear_decoder(p, "label"), "r2", "mean_error", nd=4)
+
+
+def aligned_angles(spark, d):
+    ev = read(spark, d, "events").select((F.hour(F.col("ts").cast("timestamp")) * (C.TAU / 24)).alias("a"), (F.pmod("event_id", F.lit(24)) * (C.TAU / 24)).alias("b"))
+    return E.circular_alignment(ev, "a", "b").select(F.round("offset", 6).alias("offset"), "reflected", F.round("error", 6).alias("error"))
+
+
 def _low(x):
     return x.select("id", F.slice("features", 1, 8).alias("features"))
 
@@ -153,7 +164,7 @@ def continuity(spark, d):
 
 _NAMES = [
     type_features, series_types, circular_mean_hour, circular_steps, feature_substitution, bad_frames_removed, session_parts, rdm_trials, interpolated_frames, decay_constants, mi_ksg,
-    approximate_entropies, embedding_mds, embedding_isomap, embedding_le, embedding_dmaps, embedding_lle, trustworthiness, continuity,
+    approximate_entropies, embedding_mds, embedding_isomap, embedding_le, embedding_dmaps, embedding_lle, label_decoder, aligned_angles, trustworthiness, continuity,
 ]
 
 

@@ -58,7 +58,7 @@ def mi_gaussian_class(spark, d):
 def gaussian_triple(spark, d):
     h = hourly(spark, d)
     w = h.groupBy("t").agg(F.sum("value").alias("a"), F.sum("n").cast("double").alias("b"), F.max("value").alias("c"))
-    return _r(I.gaussian_triple(w, "a", "b", "c"), "mi", "cmi", "interaction", "tc", "dtc", "o_information")
+    return _r(I.gaussian_triple(w, "a", "b", "c"), "mi", "cmi", "mi_vector", "interaction", "tc", "dtc", "o_information")
 
 
 def correlation_matrix(spark, d):
@@ -156,7 +156,7 @@ def oracle_sql():
         "copula_rank": f"WITH {SCORES} SELECT series, t, rank, round(z, 6) AS z FROM scores",
         "mi_gaussian": f"WITH {SCORES}, p AS (SELECT a.series AS key_a, b.series AS key_b, corr(a.z, b.z) AS r, count(*) AS n FROM scores a JOIN scores b ON a.t = b.t AND a.series < b.series GROUP BY ALL) SELECT key_a, key_b, round(r, 6) AS r, n, round(greatest(0, -0.5 * log2(1 - r * r) + {_BIAS}), 6) AS mi FROM p",
         "mi_gaussian_class": f"WITH {SCORES}, c AS (SELECT series, t % 24 AS h, count(*) AS n, var_samp(z) AS v FROM scores GROUP BY ALL HAVING count(*) > 1), w AS (SELECT series, sum(n * (0.5 * ln(v) - (ln(2.0) - ln(n - 1)) / 2 - {digamma_sql('(n - 1) / 2')} / 2)) AS s FROM c GROUP BY series), u AS (SELECT series, count(*) AS n, var_samp(z) AS v FROM scores GROUP BY series) SELECT series, n, round(greatest(0, (0.5 * ln(v) - (ln(2.0) - ln(n - 1)) / 2 - {digamma_sql('(n - 1) / 2')} / 2 - s / n) / ln(2.0)), 6) AS mi FROM u JOIN w USING (series)",
-        "gaussian_triple": f"WITH {HOURLY}, w AS ({w}), m AS (SELECT n, -{nats('1 - a * a')} AS mi, {nats('1 - b * b')} + {nats('1 - c * c')} - {nats(det)} AS cmi, -{nats(det)} AS tc, {nats('1 - a * a')} + {nats('1 - b * b')} + {nats('1 - c * c')} - 2 * {nats(det)} AS dtc FROM w) SELECT n, round(mi, 6) AS mi, round(cmi, 6) AS cmi, round(cmi - mi, 6) AS interaction, round(tc, 6) AS tc, round(dtc, 6) AS dtc, round(tc - dtc, 6) AS o_information FROM m",
+        "gaussian_triple": f"WITH {HOURLY}, w AS ({w}), m AS (SELECT n, -{nats('1 - a * a')} AS mi, {nats('1 - b * b')} + {nats('1 - c * c')} - {nats(det)} AS cmi, {nats('1 - c * c')} - {nats(det)} AS mv, -{nats(det)} AS tc, {nats('1 - a * a')} + {nats('1 - b * b')} + {nats('1 - c * c')} - 2 * {nats(det)} AS dtc FROM w) SELECT n, round(mi, 6) AS mi, round(cmi, 6) AS cmi, round(mv, 6) AS mi_vector, round(cmi - mi, 6) AS interaction, round(tc, 6) AS tc, round(dtc, 6) AS dtc, round(tc - dtc, 6) AS o_information FROM m",
         "correlation_matrix": f"WITH {HOURLY} SELECT a.series AS key_a, b.series AS key_b, round(corr(a.value, b.value), 6) AS r FROM hourly a JOIN hourly b ON a.t = b.t GROUP BY a.series, b.series",
         "on_off_ratio": f"WITH {HOURLY}, m AS (SELECT series, avg(value) FILTER (WHERE t % 24 BETWEEN 8 AND 19) AS x, avg(value) FILTER (WHERE t % 24 NOT BETWEEN 8 AND 19) AS y FROM hourly GROUP BY series) SELECT series, round(x, 6) AS mean_on, round(y, 6) AS mean_off, CASE WHEN y <> 0 THEN round(x / y, 6) END AS ratio FROM m",
         "mi_all_shifts": f"WITH {_SHIFTS} SELECT key_a, key_b, CAST(shift AS INT) AS shift, round(mi, 6) AS mi FROM mis",

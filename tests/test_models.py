@@ -98,3 +98,25 @@ def test_streaming_equals_batch(spark, tmp_path):
     assert got == want
     ses = windows.caught_up(windows.sessions(windows.events_stream(spark, str(tmp_path)), "2 hours", "1 hour", ["user_id"]), ["session_window", "user_id"], "append")
     assert ses.columns[:2] == ["session_window", "user_id"]
+
+
+def test_decoder_and_alignment(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(500, 3))
+    y = x @ [1.0, -2.0, 0.5] + 3
+    p = spark.createDataFrame(pd.DataFrame({"id": np.arange(500), "features": x.tolist(), "y": y}))
+    r = embedding.linear_decoder(p, "y").first()
+    assert (r.n_train, r.n_test) == (400, 100) and r.r2 == pytest.approx(1, abs=1e-6) and r.mean_error < 1e-4
+    a = rng.uniform(0, 2 * np.pi, 200)
+    df = spark.createDataFrame(pd.DataFrame({"a": a, "b": -(a - np.pi / 3)}))
+    r = embedding.circular_alignment(df, "a", "b").first()
+    assert r.reflected and r.offset == pytest.approx(np.pi / 3) and r.error < 1e-6
+
+
+def test_hyperbolicity_of_a_tree_and_a_ring(spark):
+    from tessella.operators.graph import hyperbolicity
+
+    tree = spark.createDataFrame([(k, k // 2, 1.0) for k in range(2, 16)], "src bigint, dst bigint, w double")
+    assert hyperbolicity(tree, 3000).first().mean == 0
+    ring = spark.createDataFrame([(k, (k + 1) % 12, 1.0) for k in range(12)], "src bigint, dst bigint, w double")
+    assert hyperbolicity(ring, 3000).first().mean > 0.5
