@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tessella.operators import recurrence as Q
 from tessella.operators import signal as G
+from tessella.operators import wavelet as W
 from tessella.plans.series import HOURLY, hourly
 from tessella.session import read
 
@@ -32,6 +33,10 @@ def event_amplitude(spark, d):
     return _out(G.event_amplitudes(s, G.threshold_events(s)), "amplitude").withColumnRenamed("series", "unit_id")
 
 
+def events_ridges(spark, d):
+    return _out(W.events(_units(spark, d)), "scale", "height").withColumnRenamed("series", "unit_id")
+
+
 def minmax_scaled(spark, d):
     return _out(G.minmax(_rows(spark, d)), "value")
 
@@ -135,7 +140,7 @@ def place_field_bins(spark, d):
 
 
 _NAMES = [
-    events_threshold, event_amplitude, minmax_scaled, robust_scales, smoothed_gaussian, moving_median, smoothed_savitzky_golay, first_difference, rolled_series, shuffled_blocks, kernel_response,
+    events_threshold, event_amplitude, events_ridges, minmax_scaled, robust_scales, smoothed_gaussian, moving_median, smoothed_savitzky_golay, first_difference, rolled_series, shuffled_blocks, kernel_response,
     takens_embedding, ordinal_pattern_counts, permutation_entropy, opn_transitions, hvg_edges, nvg_edges, recurrence_edges, rqa_lines, population_joint_graph, graph_jaccard, occupancy_map,
     spatial_information, place_field_bins,
 ]

@@ -120,3 +120,21 @@ def test_hyperbolicity_of_a_tree_and_a_ring(spark):
     assert hyperbolicity(tree, 3000).first().mean == 0
     ring = spark.createDataFrame([(k, (k + 1) % 12, 1.0) for k in range(12)], "src bigint, dst bigint, w double")
     assert hyperbolicity(ring, 3000).first().mean > 0.5
+
+
+def test_ridge_events_find_transients_and_not_noise(spark):
+    from tessella.operators import wavelet
+
+    rng = np.random.default_rng(6)
+    t = np.arange(1500)
+    x = 0.02 * rng.normal(size=1500)
+    onsets = (200, 520, 900, 1250)
+    for s in onsets:
+        x += np.where(t >= s, np.exp(-(t - s) / 25.0) - np.exp(-(t - s) / 4.0), 0)
+    df = spark.createDataFrame(pd.DataFrame({"key": "a", "t": t, "value": x}))
+    whole = wavelet.events(df).toPandas()
+    assert len(whole) >= 4 and all(((whole.peak > s) & (whole.peak < s + 40)).any() for s in onsets)
+    assert all(min(abs(p - s - 12) for s in onsets) < 45 for p in whole.peak)
+    cut = wavelet.events(df, chunk=600, margin=300).toPandas()
+    assert set(cut.peak) == set(whole.peak)
+    assert wavelet.events(df.limit(0)).count() == 0
