@@ -172,3 +172,37 @@ def hyperbolicity(edges: DataFrame, quadruples: int = 100_000, seed: int = 7) ->
         draw = draw.join(d.select(F.col("i").alias(x), F.col("j").alias(y), F.col("hops").alias(f"d{x}{y}")), [x, y])
     sums = F.array_sort(F.array(F.col("dpq") + F.col("drs"), F.col("dpr") + F.col("dqs"), F.col("dps") + F.col("dqr")))
     return draw.agg(F.count("*").alias("quadruples"), F.avg((sums[2] - sums[1]) / 2).alias("mean"))
+
+
+def _clustering_and_length(a: np.ndarray) -> tuple[float, float]:
+    """Mean clustering coefficient and mean path length of an adjacency matrix, over pairs that meet."""
+    k = a.sum(axis=1)
+    triangles = np.einsum("ij,ji->i", a @ a, a)
+    c = np.where(k > 1, triangles / np.maximum(k * (k - 1), 1), 0).mean()
+    reach, dist, step = np.eye(len(a), dtype=bool), np.zeros_like(a), 0
+    front = reach.copy()
+    while front.any():
+        step += 1
+        front = ((front.astype(float) @ a) > 0) & ~reach
+        dist[front] = step
+        reach |= front
+    met = dist > 0
+    return float(c), float(dist[met].mean()) if met.any() else 0.0
+
+
+def small_world(edges: DataFrame, graphs: int = 10, seed: int = 0) -> DataFrame:
+    """(clustering, length, index): of the undirected graph, and (C / C0) / (L / L0) against the mean
+    of random graphs with as many nodes and edges. A small graph, on the driver."""
+    a = (dense(without_loops(edges)) > 0).astype(float)
+    n, m = len(a), int(a.sum() / 2)
+    c, length = _clustering_and_length(a) if n else (0.0, 0.0)
+    rng, base = np.random.default_rng(seed), []
+    i, j = np.triu_indices(n, 1)
+    for _ in range(graphs if m else 0):
+        r = np.zeros_like(a)
+        pick = rng.choice(len(i), size=m, replace=False)
+        r[i[pick], j[pick]] = r[j[pick], i[pick]] = 1
+        base.append(_clustering_and_length(r))
+    c0, l0 = np.mean(base, axis=0) if base else (0.0, 0.0)
+    index = (c / c0) / (length / l0) if c0 > 0 and length > 0 and l0 > 0 else None
+    return edges.sparkSession.createDataFrame([(c, length, None if index is None else float(index))], "clustering double, length double, index double")

@@ -76,6 +76,10 @@ def trade_spectral_entropy(spark, d):
     return _r(N.spectral_entropy(trade(spark, d), [0.1, 1.0, 10.0]), "entropy", "free_entropy")
 
 
+def trade_small_world(spark, d):
+    return _r(N.small_world(_strong(spark, d)), "clustering", "length", "index")
+
+
 def trade_hyperbolicity(spark, d):
     return _r(N.hyperbolicity(_strong(spark, d), 20_000), "mean")
 
@@ -120,7 +124,7 @@ def rdm_comparison(spark, d):
 
 
 _NAMES = [
-    trade_degrees, trade_symmetry, symmetric_edges, asymmetric_edges, trade_components, trade_laplacian, trade_transition, trade_clustering, trade_hops, trade_spectrum, trade_spectral_entropy, trade_hyperbolicity,
+    trade_degrees, trade_symmetry, symmetric_edges, asymmetric_edges, trade_components, trade_laplacian, trade_transition, trade_clustering, trade_hops, trade_spectrum, trade_spectral_entropy, trade_hyperbolicity, trade_small_world,
     knn_search, knn_preservation, nn_dimension, effective_dimension, pca_variances, rdm, rdm_comparison,
 ]
 

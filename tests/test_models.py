@@ -138,3 +138,13 @@ def test_ridge_events_find_transients_and_not_noise(spark):
     cut = wavelet.events(df, chunk=600, margin=300).toPandas()
     assert set(cut.peak) == set(whole.peak)
     assert wavelet.events(df.limit(0)).count() == 0
+
+
+def test_small_world_of_a_ring_lattice(spark):
+    from tessella.operators.graph import small_world
+
+    ring = spark.createDataFrame([(k, (k + d) % 60, 1.0) for k in range(60) for d in (1, 2)], "src bigint, dst bigint, w double")
+    r = small_world(ring).first()
+    assert r.clustering == pytest.approx(0.5) and r.length == pytest.approx(sum(-(-d // 2) for d in [*range(1, 31), *range(1, 30)]) / 59)
+    assert r["index"] > 1
+    assert small_world(ring.limit(0)).first()["index"] is None
