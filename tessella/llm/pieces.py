@@ -4,7 +4,8 @@ The tokenizer gives the character at which each token begins; the rest is SQL on
 piece's first token the window of at most `limit` tokens is taken; a regular expression with bounded
 quantifiers, its alternatives ordered by strength (paragraph, line, sentence, clause, blank), takes
 as much of the window as ends at such a boundary in its later part, else all of it, to the
-character. The next piece begins `overlap` tokens before the end.
+character. The later part is one of characters and of tokens: a piece has at least half of the
+window's tokens, also where the window's characters are unevenly divided into tokens. The next piece begins `overlap` tokens before the end.
 
 Defined results
 - null and empty texts and texts within the limit have no pieces
@@ -34,10 +35,10 @@ BOUNDARIES = {
 }
 
 
-def _pattern(width: Column) -> Column:
+def _pattern(width: Column, least: Column) -> Column:
     parts = []
     for name, end in BOUNDARIES.items():
-        parts += [F.lit("^.{"), F.greatest(F.lit(1), F.floor(width * EARLIEST[name])).cast("string"), F.lit(","), width.cast("string"), F.lit("}" + end + "|")]
+        parts += [F.lit("^.{"), F.greatest(F.lit(1), F.least(width, least), F.floor(width * EARLIEST[name])).cast("string"), F.lit(","), width.cast("string"), F.lit("}" + end + "|")]
     return F.concat(F.lit("(?s)"), *parts, F.lit("^.{1,"), width.cast("string"), F.lit("}"))
 
 
@@ -54,7 +55,9 @@ def piece_bounds(text: str, at: str, limit: int, overlap: int) -> Column:
     room = limit - SLACK
     begin = lambda i: F.when(i < n, F.element_at(at, (i + 1).cast("int"))).otherwise(F.length(text))
     piece = "array<struct<first:int,last:int,start:int,end:int>>"
-    most = F.ceil(n / F.lit(max(1, room // 2 - overlap))).cast("int") + 1
+    # every piece but the last has so many tokens, so the number of steps is bounded
+    half = max(overlap + 1, room // 2)
+    most = F.ceil(n / F.lit(half - overlap)).cast("int") + 1
 
     def step(state: Column, _: Column) -> Column:
         s = state["next"]
@@ -63,13 +66,13 @@ def piece_bounds(text: str, at: str, limit: int, overlap: int) -> Column:
         def at_window(w: Column) -> Column:
             width = w["end"] - w["start"]
             window = F.substr(F.col(text), w["start"] + 1, width)
-            taken = F.length(F.call_function("regexp_extract", window, _pattern(width), F.lit(0)))
+            taken = F.length(F.call_function("regexp_extract", window, _pattern(width, w["half"] - w["start"] + 1), F.lit(0)))
             return let(w["start"] + taken, lambda boundary: at_boundary(w, boundary))
 
         def at_boundary(w: Column, boundary: Column) -> Column:
-            # tokens of the window that begin before the boundary; at least one more than the overlap
+            # tokens of the window that begin before the boundary
             inside = F.size(F.filter(F.slice(F.col(at), s + 1, room), lambda x: x < boundary))
-            last = F.when(w["stop"] >= n, n).otherwise(F.least(F.greatest(s + inside, s + overlap + 1), w["stop"])).cast("int")
+            last = F.when(w["stop"] >= n, n).otherwise(F.least(F.greatest(s + inside, s + half), w["stop"])).cast("int")
             return let(last, lambda end: grown(w, end))
 
         def grown(w: Column, last: Column) -> Column:
@@ -78,7 +81,7 @@ def piece_bounds(text: str, at: str, limit: int, overlap: int) -> Column:
                 F.when(last >= n, n).otherwise(last - overlap).cast("int").alias("next"), F.concat(state["pieces"], F.array(new)).cast(piece).alias("pieces"), (last >= n).alias("done")
             )
 
-        return F.when(state["done"], state).otherwise(let(F.struct(stop.alias("stop"), begin(s).alias("start"), begin(stop).alias("end")), at_window))
+        return F.when(state["done"], state).otherwise(let(F.struct(stop.alias("stop"), begin(s).alias("start"), begin(stop).alias("end"), begin(s + half).alias("half")), at_window))
 
     zero = F.struct(F.lit(0).cast("int").alias("next"), F.array().cast(piece).alias("pieces"), F.lit(False).alias("done"))
     return F.aggregate(F.sequence(F.lit(1), most), zero, step)["pieces"]

@@ -43,5 +43,23 @@ def test_pieces_cover_overlap_and_stay_within_the_limit(spark):
     assert all(p[-1] in ".?!" or p.rstrip()[-1] in ".?!" for p in got[got.doc_id == 2].sort_values("piece_no").piece[:-1])
 
 
+def test_prose_before_a_blankless_dense_script_is_cut_to_the_end(spark):
+    rng = random.Random(7)
+    prose = " ".join(rng.choice(["international", "responsibility", "administration", "constitutional", "representatives"]) for _ in range(60))
+    every = {
+        1: prose + " " + "".join(chr(rng.randint(0x4E00, 0x9FA5)) for _ in range(2500)),
+        2: prose + ". " + "".join(chr(rng.randint(0x0F40, 0x0F6C)) for _ in range(1500)),
+    }
+    limit, overlap = 200, 20
+    got = pieces.split(spark.createDataFrame(list(every.items()), "doc_id bigint, text string"), limit, overlap).toPandas()
+    assert set(got.doc_id) == set(every)
+    for k, x in got.groupby("doc_id"):
+        x = x.sort_values("piece_no").to_dict("records")
+        assert x[0]["start"] == 0 and x[-1]["end"] == len(every[k])
+        assert all(a["start"] < b["start"] <= a["end"] for a, b in zip(x, x[1:]))
+        assert all(a["piece"] == every[k][a["start"] : a["end"]] and a["n_tokens"] <= limit for a in x)
+        assert all(a["n_tokens"] >= limit // 2 - 20 for a in x[:-1])
+
+
 def test_empty(spark):
     assert pieces.split(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
