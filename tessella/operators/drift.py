@@ -1,9 +1,10 @@
 """Headers of files whose fields drift: one table with steady fields, and every change reported.
 
 Files are sorted over the cluster by track and time. A first pass sums up, per partition and track,
-which fields were present last and what was known of each (type and value sketch); these sums, as
-many as partitions and tracks that meet, are folded into the state with which each partition
-starts; a second pass compares every file with the one before it. Fields that vanish and fields
+which fields were present last, what was known of each (type and value sketch) and under what name
+each began; these sums, as many as partitions and tracks that meet, are folded into the state with
+which each partition starts; a second pass compares every file with the one before it and is
+repeated where a partition ends otherwise than the next one was made to start. Fields that vanish and fields
 that appear are matched as a bipartite assignment over type, value sketch and name.
 
 Defined results
@@ -23,11 +24,12 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessella.operators.ordering import sorted_runs
+from tessella.session import cut
 
 #: Weights of contents and name in the likeness of two fields, and the least likeness of a rename.
 CONTENT_WEIGHT, NAME_WEIGHT, LEAST = 0.6, 0.4, 0.39
@@ -215,6 +217,28 @@ def step(state: dict | None, header: dict) -> tuple[dict, list[tuple]]:
     return {"present": sorted(header), "known": {k: known[k] for k in header}}, changes
 
 
+def dumped(state: dict) -> str:
+    return json.dumps(state, sort_keys=True)
+
+
+def joined(carry: dict, first: dict, own: dict, origin: dict[str, str | None]) -> dict:
+    """The state after a partition that went on from `carry`: what was known before is added to what
+    the partition knows of a field (own), which in the partition's first file was named origin[field]."""
+    known, _ = step(carry, first)
+    for k, x in own["known"].items():
+        c = known["known"].get(origin.get(k)) if origin.get(k) is not None else None
+        if c is None or c["type"] is None:
+            continue
+        if x["type"] is None:
+            own["known"][k] = c
+        elif x["type"] == c["type"]:
+            # both have seen the first file
+            x |= {"seen": c["seen"] + x["seen"] - (first[origin[k]] is not None), "varies": c["varies"] or x["varies"] or c["last"] != x["last"]}
+            if "lo" in c:
+                x |= {"lo": min(c["lo"], x.get("lo", c["lo"])), "hi": max(c["hi"], x.get("hi", c["hi"]))}
+    return own
+
+
 def load(header: str | None) -> dict | None:
     try:
         h = json.loads(header)
@@ -240,47 +264,61 @@ def changes(records: DataFrame) -> DataFrame:
     runs = sorted_runs(readable_files(records).select("track", "written_at", "file_id", "header"), ["track"], ["written_at", "file_id"], in_place=True)
 
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        # the last file's fields, and of each field ever seen what the partition knows of it
-        pid, track, state, out = None, None, None, []
+        # the first file, the last file's fields, and of each field what the partition knows of it
+        pid, track, state, first, origin, out = None, None, None, None, {}, []
         for pdf in batches:
             for p, t, h in zip(pdf["_pid"], pdf["track"], pdf["header"]):
+                header = load(h)
                 if t != track:
                     if track is not None:
-                        out.append((pid, track, json.dumps(state)))
-                    pid, track, state = p, t, None
-                state, _ = step(state, load(h))
+                        out.append((pid, track, first, dumped(state), json.dumps(origin)))
+                    pid, track, state, first, origin = p, t, None, h, {k: k for k in header}
+                state, found = step(state, header)
+                was = {c[0]: origin.get(c[2]) for c in found if c[1] in ("renamed", "added")}
+                origin = {k: was[k] if k in was else origin.get(k) for k in header}
         if track is not None:
-            out.append((pid, track, json.dumps(state)))
-        yield pd.DataFrame(out, columns=["_pid", "track", "state"])
+            out.append((pid, track, first, dumped(state), json.dumps(origin)))
+        yield pd.DataFrame(out, columns=["_pid", "track", "first", "state", "origin"])
 
-    partial = runs.select("_pid", "track", "header").mapInPandas(sums, "_pid int, track string, state string")
+    partial = runs.select("_pid", "track", "header").mapInPandas(sums, "_pid int, track string, first string, state string, origin string")
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         out, carry = [], None
-        for p, t, s in sorted(pdf[["_pid", "track", "state"]].itertuples(index=False)):
-            if carry is not None:
-                out.append((p, t, json.dumps(carry)))
+        for p, t, first, s, origin in sorted(pdf[["_pid", "track", "first", "state", "origin"]].itertuples(index=False)):
             own = json.loads(s)
             if carry is not None:
-                for k, x in own["known"].items():
-                    if x["type"] is None and k in carry["known"]:
-                        own["known"][k] = carry["known"][k]
-            carry = own
+                out.append((p, t, carry))
+                own = joined(json.loads(carry), load(first), own, json.loads(origin))
+            carry = dumped(own)
         return pd.DataFrame(out, columns=["_pid", "track", "state"])
 
-    carry = partial.groupBy("track").applyInPandas(fold, "_pid int, track string, state string")
+    start = cut(partial.groupBy("track").applyInPandas(fold, "_pid int, track string, state string"))
 
     def compare(key: tuple, files: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
         begin = dict(zip(start["track"], start["state"]))
         out, track, state = [], None, None
+        end = lambda: (None, track, *[None] * (len(CHANGE) - 2), int(key[0]), dumped(state))
         for t, _, f, h in files.sort_values(["track", "written_at", "file_id"])[["track", "written_at", "file_id", "header"]].itertuples(index=False):
             if t != track:
+                if track is not None:
+                    out.append(end())
                 track, state = t, json.loads(begin[t]) if t in begin else None
             state, found = step(state, load(h))
-            out += [(f, t, *c) for c in found]
-        return pd.DataFrame(out, columns=CHANGE.names)
-
-    return runs.drop("_end").groupBy("_pid").cogroup(carry.groupBy("_pid")).applyInPandas(compare, CHANGE)
+            out += [(f, t, *c, None, None) for c in found]
+        if track is not None:
+            out.append(end())
+        return pd.DataFrame(out, columns=[*CHANGE.names, "_pid", "_state"]).astype({"file_id": "Int64", "_pid": "Int32"})
+
+    compared = T.StructType([*CHANGE.fields, T.StructField("_pid", T.IntegerType()), T.StructField("_state", T.StringType())])
+    before = Window.partitionBy("track").orderBy("_pid")
+    while True:
+        every = cut(runs.drop("_end").groupBy("_pid").cogroup(start.groupBy("_pid")).applyInPandas(compare, compared))
+        # as many rows as partitions and tracks that meet; the first partition of a track is right,
+        # so each round makes one more right, and mostly the first round finds all so
+        ends = every.filter(F.col("_state").isNotNull()).select("_pid", "track", F.lag("_state").over(before).alias("state")).filter(F.col("state").isNotNull())
+        if ends.join(start, ["_pid", "track", "state"], "left_anti").isEmpty():
+            return every.filter(F.col("_state").isNull()).select(*CHANGE.names)
+        start = cut(ends)
 
 
 def steady_names(found: DataFrame, names: DataFrame) -> dict[str, list[str]]:

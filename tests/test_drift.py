@@ -46,6 +46,29 @@ def test_tracks_repeats_and_partitions(spark):
     assert got == {(40, "y_x", "renamed"), (101, "z", "retyped")}
 
 
+def test_a_track_over_many_partitions_is_as_in_one(spark):
+    def header(i):
+        h = {"n_neurons": [1, 1000, 7][i % 3] if i < 60 else 10 + i % 3} if i < 150 else {"qty": 500 + i % 3}
+        text = f"word{i}" if i < 60 else "steady"
+        return h | ({"remark": text} if i < 100 else {"zz": "quite other"} if i > 170 else {"note": text})
+
+    t = table(spark, [header(i) for i in range(240)])
+    state, want = None, set()
+    for i in range(240):
+        state, changed = drift.step(state, json.loads(json.dumps(header(i))))
+        want |= {(i, c[0], c[1]) for c in changed}
+    assert {(150, "qty", "renamed"), (171, "zz", "renamed")} <= want
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for n in ("1", "8"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            assert found(t.repartition(8)) == want
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+
+
 def test_matching_is_the_best(spark):
     rng = random.Random(3)
     for _ in range(200):
