@@ -1,8 +1,9 @@
 """Dimension reduction by landmarks: small matrices of landmarks on the driver, all rows placed
 among them in parallel.
 
-A bounded number of landmarks (checked) carries the geometry; every other point takes part through
-its distances to them, so the work grows linearly with the rows.
+Up to MOST_LANDMARKS points all are landmarks, so the reduction is fitted to every row. Of more
+points a bounded number (checked) carries the geometry; every other point takes part through its
+distances to them, so the work grows linearly with the rows.
 """
 
 from __future__ import annotations
@@ -20,6 +21,14 @@ from tessella.operators.manifold import moments
 MOST_LANDMARKS = 4_000
 
 
+def landmarks_of(points: DataFrame) -> DataFrame:
+    """All points where the driver can hold their distances, else as many as it can, spread by the
+    hash of their id."""
+    if points.limit(MOST_LANDMARKS + 1).count() <= MOST_LANDMARKS:
+        return points
+    return points.orderBy(F.xxhash64("id"), "id").limit(MOST_LANDMARKS)
+
+
 def gather(landmarks: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     rows = landmarks.orderBy("id").limit(MOST_LANDMARKS + 1).collect()
     if len(rows) > MOST_LANDMARKS:
@@ -46,8 +55,15 @@ def neighbour_graph(d: np.ndarray, k: int, weighted: bool = False) -> np.ndarray
 def shortest(g: np.ndarray) -> np.ndarray:
     """All shortest paths; parts that don't meet are put at the greatest distance there is."""
     d = g.copy()
-    for k in range(len(d)):
-        np.minimum(d, d[:, k : k + 1] + d[k : k + 1, :], out=d)
+    if np.isin(g, (0.0, 1.0, np.inf)).all():  # hops: the front of all points at once
+        a, front, step = (g == 1).astype(np.float32), g == 1, 1
+        while front.any():
+            step += 1
+            front = ((front.astype(np.float32) @ a) > 0) & np.isinf(d)
+            d[front] = step
+    else:
+        for k in range(len(d)):
+            np.minimum(d, d[:, k : k + 1] + d[k : k + 1, :], out=d)
     top = d[np.isfinite(d)].max() if np.isfinite(d).any() else 0.0
     return np.where(np.isfinite(d), d, top)
 
@@ -138,6 +154,8 @@ def embed(points: DataFrame, landmarks: DataFrame, method: str, k: int = 2, **op
         raise ValueError("too few landmarks")
     coords, place = fit(x, method, k, **options)
     at = {int(i): c for i, c in zip(ids, coords)}
+    if landmarks is points:  # none is left to be placed
+        x, place = x[:0], lambda d: np.zeros((len(d), k))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

@@ -113,8 +113,8 @@ def _cloud(spark, d):
 
 
 def _embedded(spark, d, method):
-    p, q = _cloud(spark, d)
-    return E.embed(p, q, method, 2).select("id", F.round(F.col("features")[0], 6).alias("x"), F.round(F.col("features")[1], 6).alias("y"))
+    p, _ = _cloud(spark, d)
+    return E.embed(p, E.landmarks_of(p), method, 2).select("id", F.round(F.col("features")[0], 6).alias("x"), F.round(F.col("features")[1], 6).alias("y"))
 
 
 def embedding_mds(spark, d):

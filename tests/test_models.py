@@ -52,6 +52,25 @@ def test_reduction_orders_a_curve(spark, method):
     assert abs(np.corrcoef(order, np.arange(300))[0, 1]) > 0.95
 
 
+@pytest.mark.parametrize("method", ["mds", "isomap", "le", "dmaps", "lle"])
+def test_queries_fit_all_rows(spark, tmp_path, method):
+    from tessella.plans import models
+
+    x = np.random.default_rng(3).normal(size=(120, 5)) * [4, 3, 1, 1, 1]
+    spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(120), "embedding": x.tolist()})).write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = getattr(models, f"embedding_{method}")(spark, str(tmp_path)).toPandas().sort_values("id")
+    want, _ = embedding.fit(x, method, 2)
+    assert np.allclose(got[["x", "y"]].to_numpy(), want, atol=1e-5)
+
+
+def test_more_points_than_landmarks_are_placed(spark, monkeypatch):
+    monkeypatch.setattr(embedding, "MOST_LANDMARKS", 50)
+    x = cloud()
+    p = spark.createDataFrame(pd.DataFrame({"id": np.arange(len(x)), "features": x.tolist()}))
+    y = np.array(embedding.embed(p, embedding.landmarks_of(p), "mds", 2).toPandas().sort_values("id").features.tolist())
+    assert np.allclose(embedding.distances(x, x), embedding.distances(y, y), atol=1e-4)
+
+
 def test_kinetics(spark):
     t = np.arange(400)
     k = lambda s: np.where(t >= s, np.exp(-(t - s) / 30.0), 0)
