@@ -1,10 +1,13 @@
 """Sources mixed to target shares of tokens.
 
 Weights come from temperature mixing: between the sources' natural token shares q and the targets t
-lies the family w(x) ~ q (t / q)^x, natural at x = 0, the targets at x = 1. Without a budget the
-largest one is taken at which the targets themselves keep every repetition limit; with a larger
-budget the exponent is found by bisection, as far towards the targets as the limits allow. The same
-bisection meets a target entropy with w(x) ~ q^x (temperature_weights).
+lies the family w(x) ~ q (t / q)^x, natural at x = 0, the targets at x = 1. The budget is the number
+of tokens there are, unless another is given. From the natural shares on the exponent is raised as
+far as the repetition limits allow, by bisection; a source that reaches its limit stays at it and
+the exponent goes on rising over the others, until these have their targets or are at their limits
+too. So a scarce source neither holds back the others nor the size of the mix. With exact=True the
+mix is instead the largest one in which every source has just its target. The same bisection meets
+a target entropy with w(x) ~ q^x (temperature_weights).
 
 The weights are realised as permutations of blocks: every pass over a source takes its blocks in an
 order of its own, and passes go on until the source's budget of tokens is used up; only the last
@@ -22,6 +25,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,38 +62,62 @@ def temperature_weights(shares: Mapping[str, float], target_entropy: float, step
     return _normal({k: math.exp(lo * math.log(v)) for k, v in q.items()})
 
 
-def mix_weights(sizes: Mapping[str, int], targets: Mapping[str, float], repeats: Mapping[str, int], budget: float | None = None, steps: int = 200) -> tuple[dict[str, float], float]:
-    """Weights of the sources and the budget in tokens."""
-    there = [s for s in targets if sizes.get(s, 0) > 0 and targets[s] > 0 and repeats.get(s, 1) > 0]
+@dataclass(frozen=True)
+class Weight:
+    """Share of a source, the exponent up to which it was raised towards its target, and what bound
+    it: target, repeats (its limit) or nothing there (absent)."""
+
+    share: float
+    exponent: float
+    bound: str
+
+
+def mix_weights(sizes: Mapping[str, int], targets: Mapping[str, float], repeats: Mapping[str, int], budget: float | None = None, exact: bool = False, steps: int = 100) -> tuple[dict[str, Weight], float]:
+    """Weights of the sources and the size of the mix in tokens."""
+    there = [s for s in sorted(targets) if sizes.get(s, 0) > 0 and targets[s] > 0 and repeats.get(s, 1) > 0]
     t, q = _normal({s: targets[s] for s in there}), _normal({s: float(sizes[s]) for s in there})
     if not t:
         return {}, 0.0
-    largest = min(repeats.get(s, 1) * sizes[s] / t[s] for s in there)
-    if budget is None or budget <= largest:
-        return t, largest if budget is None else budget
-    budget = min(budget, float(sum(repeats.get(s, 1) * sizes[s] for s in there)))
+    most = {s: float(repeats.get(s, 1) * sizes[s]) for s in there}
+    if exact:
+        largest = min(most[s] / t[s] for s in there)
+        return {s: Weight(t[s], 1.0, "target") for s in there}, largest if budget is None else min(budget, largest)
+    budget = min(float(sum(sizes[s] for s in there)) if budget is None else budget, sum(most.values()))
+    limit = {s: most[s] / budget for s in there}
+    full: dict[str, float] = {}
 
     def at(x: float) -> dict[str, float]:
-        return _normal({s: q[s] * (t[s] / q[s]) ** x for s in there})
-
-    def fits(w: Mapping[str, float]) -> bool:
-        return all(w[s] * budget <= repeats.get(s, 1) * sizes[s] * (1 + 1e-12) for s in there)
-
-    lo, hi = 0.0, 1.0
-    if fits(at(0.0)):
+        """Shares at the exponent: full sources at their limit, the rest divided among the others."""
+        rest = 1 - sum(limit[s] for s in full)
+        return {s: limit[s] for s in full} | {s: p * rest for s, p in _normal({s: q[s] * (t[s] / q[s]) ** x for s in there if s not in full}).items()}
+
+    def beyond(w: Mapping[str, float]) -> list[str]:
+        return [s for s in there if s not in full and w[s] > limit[s] * (1 + 1e-12)]
+
+    x = 0.0
+    while True:
+        # a budget beyond the natural sizes may fill sources before the exponent rises at all
+        while over := beyond(at(x)):
+            full |= dict.fromkeys(over, x)
+        if not beyond(at(1.0)):
+            w = at(1.0)
+            # the way to the targets isn't straight: a source filled on it may end below its limit
+            free = [s for s in there if s not in full]
+            scale = sum(w[s] for s in free) / sum(t[s] for s in free) if free else math.inf
+            early = [s for s in full if t[s] * scale < limit[s] * (1 - 1e-12)]
+            if not early:
+                return {s: Weight(w[s], full.get(s, 1.0), "repeats" if s in full else "target") for s in there}, budget
+            for s in early:
+                del full[s]
+            x = 1.0
+            continue
+        lo, hi = x, 1.0
         for _ in range(steps):
             mid = (lo + hi) / 2
-            lo, hi = (mid, hi) if fits(at(mid)) else (lo, mid)
-        return at(lo), budget
-    # even the natural shares go beyond a limit: full sources stay at it, the rest is shared out
-    w, full = at(0.0), {}
-    while not fits(w | full):
-        for s in there:
-            if s not in full and w[s] * budget > repeats.get(s, 1) * sizes[s]:
-                full[s] = repeats.get(s, 1) * sizes[s] / budget
-        rest, left = 1 - sum(full.values()), _normal({s: q[s] for s in there if s not in full})
-        w = {s: p * rest for s, p in left.items()}
-    return w | full, budget
+            lo, hi = (lo, mid) if beyond(at(mid)) else (mid, hi)
+        # at lo all limits hold, just after it at least one doesn't
+        full |= dict.fromkeys(beyond(at(hi)), lo)
+        x = lo
 
 
 def sized(documents: DataFrame, path: str | None = None) -> DataFrame:
@@ -99,19 +127,20 @@ def sized(documents: DataFrame, path: str | None = None) -> DataFrame:
     return cut(counted.filter(F.col("tokens") > 0))
 
 
-def plan(docs: DataFrame, targets: DataFrame, budget: float | None = None) -> list[tuple[str, float, int, int, float, float]]:
-    """(source, target, repeats, tokens there, weight, tokens to take): a row per source."""
+def plan(docs: DataFrame, targets: DataFrame, budget: float | None = None, exact: bool = False) -> list[tuple]:
+    """A row per source, as in _PLAN."""
     rows = targets.filter(F.col("source").isNotNull()).select("source", "target_share", "max_repeats").limit(MAX_SOURCES + 1).collect()
     if len(rows) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
     want = {r.source: float(r.target_share or 0.0) for r in rows}
     most = {r.source: int(r.max_repeats if r.max_repeats is not None else 1) for r in rows}
     sizes = {r.source: int(r.n) for r in docs.join(F.broadcast(targets.select("source").distinct()), "source", "left_semi").groupBy("source").agg(F.sum("tokens").alias("n")).collect()}
-    weights, total = mix_weights(sizes, want, most, budget)
-    return [(s, want[s], most[s], sizes.get(s, 0), weights.get(s, 0.0), weights.get(s, 0.0) * total) for s in sorted(want)]
+    weights, total = mix_weights(sizes, want, most, budget, exact)
+    none = Weight(0.0, 0.0, "absent")
+    return [(s, want[s], most[s], sizes.get(s, 0), w.share, w.share * total, w.exponent, w.bound) for s in sorted(want) for w in [weights.get(s, none)]]
 
 
-_PLAN = "source string, target_share double, max_repeats int, available long, weight double, take double"
+_PLAN = "source string, target_share double, max_repeats int, available long, weight double, take double, exponent double, bound string"
 
 
 def realise(docs: DataFrame, sources: list[tuple], seed: int = 0, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
@@ -133,19 +162,24 @@ def realise(docs: DataFrame, sources: list[tuple], seed: int = 0, block_tokens:
     return kept.select("doc_id", "source", "pass", "tokens", F.least(F.lit(1.0), (F.col("_sum") - F.col("tokens") / 2) / F.col("take")).alias("place"))
 
 
-def mix(documents: DataFrame, targets: DataFrame, budget: float | None = None, seed: int = 0, path: str | None = None) -> DataFrame:
+def mix(documents: DataFrame, targets: DataFrame, budget: float | None = None, seed: int = 0, path: str | None = None, exact: bool = False) -> DataFrame:
     docs = sized(documents, path)
-    return realise(docs, plan(docs, targets, budget), seed)
+    return realise(docs, plan(docs, targets, budget, exact), seed)
 
 
-def reached(documents: DataFrame, targets: DataFrame, budget: float | None = None, seed: int = 0, path: str | None = None) -> DataFrame:
-    """(source, target_share, available, weight, taken, share, most_repeats) of each source."""
+def reached(documents: DataFrame, targets: DataFrame, budget: float | None = None, seed: int = 0, path: str | None = None, exact: bool = False) -> DataFrame:
+    """Of each source its target, the weight aimed at, the exponent and limit that led to it, and
+    what was really reached: taken tokens, share of the mix, greatest number of repeats, and the
+    tokens of its documents that are not in the mix at all (left_out)."""
     docs = sized(documents, path)
-    sources = plan(docs, targets, budget)
+    sources = plan(docs, targets, budget, exact)
     spark: SparkSession = documents.sparkSession
-    got = realise(docs, sources, seed).groupBy("source").agg(F.sum("tokens").alias("taken"), (F.max("pass") + 1).alias("most_repeats"))
-    every = spark.createDataFrame(sources, _PLAN).join(got, "source", "left").na.fill(0, ["taken", "most_repeats"])
+    got = realise(docs, sources, seed).groupBy("source").agg(
+        F.sum("tokens").alias("taken"), (F.max("pass") + 1).alias("most_repeats"), F.sum(F.when(F.col("pass") == 0, F.col("tokens"))).alias("once")
+    )
+    every = spark.createDataFrame(sources, _PLAN).join(got, "source", "left").na.fill(0, ["taken", "most_repeats", "once"])
     total = got.agg(F.sum("taken").alias("_all"))
     return every.join(F.broadcast(total), how="cross").select(
-        "source", "target_share", "max_repeats", "available", "weight", "taken", F.coalesce(F.col("taken") / F.col("_all"), F.lit(0.0)).alias("share"), F.col("most_repeats").cast("int").alias("most_repeats")
-    )
+        "source", "target_share", "max_repeats", "available", "weight", "exponent", "bound", "taken", F.coalesce(F.col("taken") / F.col("_all"), F.lit(0.0)).alias("share"),
+        F.col("most_repeats").cast("int").alias("most_repeats"), (F.col("available") - F.col("once")).alias("left_out"),
+    )
