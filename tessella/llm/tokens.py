@@ -57,9 +57,13 @@ def offsets(text: str, path: str) -> list[int]:
     return out
 
 
+def vocabulary(path: str | None) -> str:
+    return path or os.path.join(TOKENIZERS, VOCABULARY)
+
+
 def count(text: Column, path: str | None = None) -> Column:
     """Tokens of a text; null and empty texts have none."""
-    file = path or os.path.join(TOKENIZERS, VOCABULARY)
+    file = vocabulary(path)
 
     @F.pandas_udf(T.LongType())
     def size(s: pd.Series) -> pd.Series:
@@ -68,12 +72,21 @@ def count(text: Column, path: str | None = None) -> Column:
     return size(text)
 
 
-def begins(text: Column, path: str | None = None) -> Column:
-    """The character (from 0) at which each token of a text begins."""
-    file = path or os.path.join(TOKENIZERS, VOCABULARY)
-
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def places(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: offsets(x, file) if isinstance(x, str) and x else [])
-
-    return places(text)
+def paged(text: str, page: int, path: str) -> tuple[list[int], list[str], int]:
+    """The character (from 0) at which each token of a text begins, the text in pages of so many
+    tokens, and its length in characters."""
+    text = text.encode("utf-8", "replace").decode("utf-8")
+    at = offsets(text, path)
+    first = at[::page]
+    return at, [text[a:b] for a, b in zip(first, [*first[1:], len(text)])], len(text)
+
+
+def parts_within(text: str, limit: int, overlap: int, path: str, start: int = 0) -> list[tuple[int, int, int]]:
+    """(start, end, tokens) of the parts of a text that encoded by themselves have at most limit
+    tokens: the whole text if it has, else two halves that share overlap tokens, and so on."""
+    at = offsets(text, path)
+    if len(at) <= limit:
+        return [(start, start + len(text), len(at))]
+    half = len(at) // 2
+    again = at[half - overlap]
+    return [*parts_within(text[: at[half]], limit, overlap, path, start), *parts_within(text[again:], limit, overlap, path, start + again)]

@@ -61,5 +61,32 @@ def test_prose_before_a_blankless_dense_script_is_cut_to_the_end(spark):
         assert all(a["n_tokens"] >= limit // 2 - 20 for a in x[:-1])
 
 
+def test_a_piece_whose_tokens_change_when_it_is_cut_is_halved():
+    text = "".join(random.Random(1).choice("abcdefgh ") for _ in range(3000))
+    parts = tokens.parts_within(text, 300, 20, PATH)
+    assert len(parts) > 2 and parts[0][0] == 0 and parts[-1][1] == len(text)
+    assert all(n == len(tokens.encode(text[a:b], PATH)) <= 300 for a, b, n in parts)
+    assert all(a[0] < b[0] < a[1] < b[1] for a, b in zip(parts, parts[1:]))
+
+
+def test_no_slack_still_keeps_the_limit(spark, monkeypatch):
+    monkeypatch.setattr(pieces, "SLACK", -30)  # windows beyond the limit, so pieces must be halved
+    every = texts()
+    got = pieces.split(spark.createDataFrame(list(every.items()), "doc_id bigint, text string"), 200, 20).toPandas()
+    assert got.n_tokens.max() <= 200 and len(got)
+    for k, x in got.groupby("doc_id"):
+        x = x.sort_values("piece_no").to_dict("records")
+        assert [p["piece_no"] for p in x] == list(range(len(x))) and x[0]["start"] == 0 and x[-1]["end"] == len(every[k])
+        assert all(a["piece"] == every[k][a["start"] : a["end"]] and a["n_tokens"] == len(tokens.encode(a["piece"], PATH)) for a in x)
+        assert all(a["start"] < b["start"] <= a["end"] for a, b in zip(x, x[1:]))
+
+
+def test_each_text_is_encoded_once(spark, capsys):
+    got = pieces.split(spark.createDataFrame([(1, "a b")], "doc_id bigint, text string")).filter("piece_no = 0").select("doc_id")
+    got.explain()
+    plan = capsys.readouterr().out.split("Initial Plan")[0]
+    assert plan.count("MapInArrow") == 2 and plan.count("Exchange") == 1  # the whole text, and its pieces
+
+
 def test_empty(spark):
     assert pieces.split(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
