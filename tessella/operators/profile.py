@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.operators.ordering import order_statistics
+from tessella.operators.ordering import nested_order_statistics
 from tessella.session import cut
 
 PLAIN = r"^[+-]?(\d+(\.\d*)?|\.\d+)$"
@@ -86,32 +86,9 @@ def _violates(rules: Mapping[str, Rule]) -> Column:
     return F.col("value").isNotNull() & broken
 
 
-def profile(df: DataFrame, load: str, columns: Sequence[str] | None = None, rules: Mapping[str, Rule] | None = None) -> DataFrame:
-    """One row per load and column: n_rows, n_missing, missing_rate, n_distinct, min_number,
-    max_number, min_value, max_value, n_violations, median, median_all, psi."""
-    counts = cut(value_counts(df, load, columns))
-    present = F.col("value").isNotNull()
-    base = counts.groupBy(load, "column_name").agg(
-        F.sum("n").alias("n_rows"),
-        F.sum(F.when(~present, F.col("n")).otherwise(0)).alias("n_missing"),
-        F.count(F.when(present, 1)).alias("n_distinct"),
-        F.min("number").alias("min_number"),
-        F.max("number").alias("max_number"),
-        F.min("value").alias("min_value"),
-        F.max("value").alias("max_value"),
-        F.sum(F.when(_violates(rules or {}), F.col("n")).otherwise(0)).alias("n_violations"),
-    )
-    base = base.withColumn("missing_rate", F.col("n_missing") / F.col("n_rows"))
-    numbers = counts.filter(F.col("number").isNotNull())
-    own = order_statistics(numbers, [load, "column_name"], "number", [0.5], "n")
-    every = order_statistics(numbers, ["column_name"], "number", [i / 10 for i in range(1, 10)], "n")
-    # one row per column: as many as the table has columns
-    cuts = cut(
-        every.groupBy("column_name").agg(
-            F.array_sort(F.collect_set("result")).alias("_cuts"), F.max(F.when(F.col("prob") == 0.5, F.col("result"))).alias("median_all")
-        )
-    )
-    binned = counts.filter(present).join(F.broadcast(cuts), "column_name", "left")
+def stability_index(counts: DataFrame, load: str, cuts: DataFrame) -> DataFrame:
+    """(load, column_name, psi) from value counts and each column's deciles over all loads (_cuts)."""
+    binned = counts.filter(F.col("value").isNotNull()).join(F.broadcast(cuts), "column_name", "left")
     shape = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.lower("value"), r"(?U)\p{L}+", "a"), r"\d+", "9"), r"(a9?)(\W\1)+", "$1")
     bin_ = F.when(F.col("number").isNotNull(), F.size(F.filter("_cuts", lambda c: c < F.col("number"))).cast("string")).otherwise(shape)
     hist = binned.groupBy(load, "column_name", bin_.alias("_bin")).agg(F.sum("n").alias("_n"))
@@ -146,16 +123,43 @@ def profile(df: DataFrame, load: str, columns: Sequence[str] | None = None, rule
     m, q_rest = F.col("_bins") - F.col("_k_own"), 1 - F.col("_q_own")
     lp = F.log("_p0")
     other = m * F.col("_p0") * lp - F.col("_p0") * (F.col("_logq") - F.col("_logq_own")) - q_rest * lp + (F.col("_qlogq") - F.col("_qlogq_own"))
-    psi = rest.select(load, "column_name", (F.col("_own") + F.when(m > 0, other).otherwise(0.0)).alias("psi"))
+    return rest.select(load, "column_name", (F.col("_own") + F.when(m > 0, other).otherwise(0.0)).alias("psi"))
+
 
+def profile(df: DataFrame, load: str, columns: Sequence[str] | None = None, rules: Mapping[str, Rule] | None = None, stability: bool = True) -> DataFrame:
+    """One row per load and column: n_rows, n_missing, missing_rate, n_distinct, min_number,
+    max_number, min_value, max_value, n_violations, median, median_all, and with stability psi."""
+    counts = cut(value_counts(df, load, columns))
+    present = F.col("value").isNotNull()
+    base = counts.groupBy(load, "column_name").agg(
+        F.sum("n").alias("n_rows"),
+        F.sum(F.when(~present, F.col("n")).otherwise(0)).alias("n_missing"),
+        F.count(F.when(present, 1)).alias("n_distinct"),
+        F.min("number").alias("min_number"),
+        F.max("number").alias("max_number"),
+        F.min("value").alias("min_value"),
+        F.max("value").alias("max_value"),
+        F.sum(F.when(_violates(rules or {}), F.col("n")).otherwise(0)).alias("n_violations"),
+    )
+    base = base.withColumn("missing_rate", F.col("n_missing") / F.col("n_rows"))
+    numbers = counts.filter(F.col("number").isNotNull())
+    deciles = [i / 10 for i in range(1, 10)] if stability else [0.5]
+    every, own = nested_order_statistics(numbers, ["column_name"], [load], "number", deciles, [0.5], "n")
+    # one row per column: as many as the table has columns
+    cuts = cut(
+        every.groupBy("column_name").agg(
+            F.array_sort(F.collect_set("result")).alias("_cuts"), F.max(F.when(F.col("prob") == 0.5, F.col("result"))).alias("median_all")
+        )
+    )
     def attach(left: DataFrame, right: DataFrame) -> DataFrame:
         r = right.withColumnRenamed(load, "_l").withColumnRenamed("column_name", "_c")
         return left.join(r, F.col(load).eqNullSafe(F.col("_l")) & (F.col("column_name") == F.col("_c")), "left").drop("_l", "_c")
 
     out = attach(base, own.select(load, "column_name", F.col("result").alias("median")))
-    out = attach(out, psi)
+    if stability:
+        out = attach(out, stability_index(counts, load, cuts))
     return out.join(F.broadcast(cuts.select("column_name", "median_all")), "column_name", "left").select(
-        load, "column_name", "n_rows", "n_missing", "missing_rate", "n_distinct", "min_number", "max_number", "min_value", "max_value", "n_violations", "median", "median_all", "psi"
+        load, "column_name", "n_rows", "n_missing", "missing_rate", "n_distinct", "min_number", "max_number", "min_value", "max_value", "n_violations", "median", "median_all", *["psi"] * stability
     )
 
 

@@ -1,8 +1,10 @@
+import random
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from tessella.operators.ordering import global_rank, order_statistics
+from tessella.operators.ordering import nested_order_statistics, global_rank, order_statistics
 
 
 def test_order_statistics_equal_numpy_with_hot_group_and_ties(spark):
@@ -33,3 +35,13 @@ def test_global_rank_counts_within_groups(spark):
     for _, x in got.groupby("g"):
         x = x.sort_values(["o", "id"])
         assert x._rank.tolist() == list(range(len(x)))
+
+
+def test_nested_statistics_are_those_of_two_sorts(spark):
+    rng = random.Random(11)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([1, 2, None]), rng.choice([rng.random(), 0.0, -0.0, 3.0, float("inf"), None, float("nan")])) for _ in range(3000)]
+    df = spark.createDataFrame(rows, "k string, s int, v double").repartition(7)
+    outer, inner = nested_order_statistics(df, ["k"], ["s"], "v", [0.1, 0.5], [0.5, 1.0])
+    key = lambda r: str(tuple(r))
+    assert sorted(outer.collect(), key=key) == sorted(order_statistics(df, ["k"], "v", [0.1, 0.5]).collect(), key=key)
+    assert sorted(inner.collect(), key=key) == sorted(order_statistics(df, ["k", "s"], "v", [0.5, 1.0]).collect(), key=key)
