@@ -172,6 +172,32 @@ def queries():
     return {f.__name__: f for f in _NAMES}
 
 
+def _types_sql(read_: str) -> str:
+    """Every piece of evidence by its definition over each series, then the same rules."""
+    near = " OR ".join(f"(abs(lo - {a!r}) < {0.1 * (b - a)!r} AND abs(hi - {b!r}) < {0.1 * (b - a)!r})" for a, b in Y.CIRCULAR_RANGES)
+    steps = []
+    for k, (column, sql) in enumerate(Y.rule_columns()):
+        steps.append(f"s{k} AS (SELECT *, {sql} AS {column} FROM {f's{k - 1}' if k else 'evidence'})")
+    return f"""WITH {read_}, names AS (SELECT series_id, max(feature) AS name FROM features WHERE feat_value IS NOT NULL AND NOT isnan(feat_value) GROUP BY series_id),
+m AS (SELECT series_id, count(*) AS n, count(DISTINCT v) AS n_unique, avg(v) AS mean, stddev_pop(v) AS sd, min(v) AS lo, max(v) AS hi, avg(CASE WHEN abs(v - round(v)) < 1e-10 THEN 1.0 ELSE 0.0 END) AS integers FROM r GROUP BY series_id),
+g AS (SELECT series_id, avg(power((v - mean) / sd, 3)) AS skewness, avg(power((v - mean) / sd, 4)) - 3 AS kurtosis FROM r JOIN m USING (series_id) WHERE sd > 0 GROUP BY series_id),
+o AS (SELECT r.*, m.* EXCLUDE (series_id), row_number() OVER (PARTITION BY r.series_id ORDER BY v, t) AS k, CASE WHEN hi > lo THEN (v - lo) / (hi - lo) END AS u, lead(v) OVER (PARTITION BY r.series_id ORDER BY t, v) AS nxt FROM r JOIN m USING (series_id)),
+ks AS (SELECT series_id, greatest(max(k / n - u), max(u - (k - 1) / n)) AS d, sum(CASE WHEN nxt < v THEN 1 ELSE 0 END) AS falls, sum(CASE WHEN abs(nxt - v) > 0.8 * (hi - lo) AND (v > mean) <> (nxt > mean) THEN 1 ELSE 0 END) AS jumps,
+  power(avg(cos(2 * pi() * u)), 2) + power(avg(sin(2 * pi() * u)), 2) AS r2 FROM o GROUP BY series_id),
+z AS (SELECT series_id, any_value(n) AS n, any_value(d) AS d FROM ks JOIN m USING (series_id) GROUP BY series_id),
+ku AS (SELECT series_id, greatest(0, least(1, sum(CASE WHEN i % 2 = 1 THEN 2 ELSE -2 END * exp(-2.0 * i * i * power((sqrt(n) + 0.12 + 0.11 / sqrt(n)) * d, 2))))) AS p_uniform FROM z, (SELECT unnest(range(1, 101)) AS i) WHERE d IS NOT NULL GROUP BY series_id),
+gaps AS (SELECT series_id, stddev_pop(x) / (avg(x) + 1e-10) AS cv_gap FROM (SELECT series_id, lead(v) OVER (PARTITION BY series_id ORDER BY v) - v AS x FROM (SELECT DISTINCT series_id, v FROM r)) WHERE x IS NOT NULL GROUP BY series_id),
+h AS (SELECT series_id, -sum(c / n * ln(c / n)) / nullif(ln(count(*)), 0) AS entropy FROM (SELECT series_id, least(floor(coalesce(u, 0) * greatest(1, least(n_unique, floor(sqrt(n))))), greatest(1, least(n_unique, floor(sqrt(n)))) - 1) AS b, count(*) AS c, any_value(n) AS n FROM o GROUP BY ALL) GROUP BY series_id),
+p AS (SELECT series_id, row_number() OVER (PARTITION BY series_id ORDER BY t, v) AS i, (v - mean) / sd AS x, n FROM o WHERE sd > 0 AND n >= 20),
+ac AS (SELECT series_id, max(abs(c)) AS autocorrelation FROM (SELECT a.series_id, b.i - a.i AS lag, sum(a.x * b.x) / any_value(a.n) AS c FROM p a JOIN p b ON a.series_id = b.series_id AND b.i > a.i AND b.i - a.i < a.n // 2 GROUP BY ALL) GROUP BY series_id),
+evidence AS (SELECT m.series_id, name, m.n, n_unique, n_unique / m.n AS uniqueness, coalesce(entropy, 0) AS entropy, integers, coalesce(cv_gap, 0) AS cv_gap, falls, jumps, coalesce(autocorrelation, 0) AS autocorrelation,
+  CASE WHEN hi - lo > 1e-10 AND m.n >= 50 AND n_unique > 10 THEN sqrt(r2) * (2 - r2) / greatest(1e-12, 1 - r2) ELSE 0 END AS kappa, {Y.normality_sql('m.n', 'skewness', 'kurtosis')} AS p_normal, coalesce(p_uniform, 0) AS p_uniform,
+  ({near}) AS in_range, coalesce(regexp_matches(lower(name), '{"|".join(Y.CIRCULAR_WORDS)}'), false) AS named
+  FROM m JOIN names USING (series_id) LEFT JOIN g USING (series_id) LEFT JOIN ks USING (series_id) LEFT JOIN ku USING (series_id) LEFT JOIN gaps USING (series_id) LEFT JOIN h USING (series_id) LEFT JOIN ac USING (series_id)),
+{", ".join(steps)}
+SELECT series_id, name, primary_type, subtype, round(confidence, 6) AS confidence FROM s{len(steps) - 1}"""
+
+
 def oracle_sql():
     read_ = "r AS (SELECT series_id, t, max(feat_value) AS v FROM features WHERE feat_value IS NOT NULL AND NOT isnan(feat_value) GROUP BY ALL)"
     p = "p AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS f FROM embeddings WHERE embedding IS NOT NULL)"
@@ -182,6 +208,7 @@ def oracle_sql():
         return f"WITH {p}, n AS (SELECT a.id AS q, b.id AS i, row_number() OVER (PARTITION BY a.id ORDER BY {h}, b.id) AS rh, row_number() OVER (PARTITION BY a.id ORDER BY {lo}, b.id) AS rl FROM p a JOIN p b ON a.id % 20 = 0 AND a.id <> b.id) SELECT round(greatest(0, 1 - sum(CASE WHEN rh > 10 THEN rh - 10 ELSE 0 END) / (count(DISTINCT q) * 10 * ((SELECT count(*) FROM p) - 11))), 6) AS score FROM n WHERE rl <= 10"
 
     return {
+        "series_types": _types_sql(read_),
         "type_features": f"WITH {read_}, m AS (SELECT series_id, avg(v) AS m, stddev_pop(v) AS s FROM r GROUP BY series_id) SELECT series_id, count(*) AS n, count(DISTINCT v) AS n_unique, round(any_value(m), 7) AS mean, round(any_value(s), 7) AS std, min(v) AS lo, max(v) AS hi, round(CASE WHEN any_value(s) > 0 THEN avg(power((v - m) / s, 3)) END, 7) AS skewness, round(CASE WHEN any_value(s) > 0 THEN avg(power((v - m) / s, 4)) - 3 END, 7) AS kurtosis, round(avg(CASE WHEN abs(v - round(v)) < 1e-10 THEN 1.0 ELSE 0.0 END), 7) AS integers FROM r JOIN m USING (series_id) GROUP BY series_id",
         "circular_mean_hour": "WITH e AS (SELECT event_type, hour(ts) * 2 * pi() / 24 AS a FROM events) SELECT event_type, round(atan2(avg(sin(a)), avg(cos(a))), 5) AS direction, round(sqrt(power(avg(sin(a)), 2) + power(avg(cos(a)), 2)), 5) AS length FROM e GROUP BY event_type",
         "circular_steps": "WITH s AS (SELECT a.event_id, b.value % 24 - a.value % 24 + 12 AS x FROM events a JOIN events b ON b.event_id = a.event_id + 1) SELECT event_id, round(((x % 24) + 24) % 24 - 12, 6) AS step FROM s",

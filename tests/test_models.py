@@ -8,19 +8,22 @@ from pyspark.sql import functions as F
 from tessella.operators import embedding, kinetics, typing
 
 
-@pytest.mark.parametrize(
-    "make, name, want",
-    [
-        (lambda r: (r.random(400) > 0.6).astype(float), "lick", ("discrete", "binary")),
-        (lambda r: r.integers(0, 5, 400).astype(float), "state", ("discrete", "categorical")),
-        (lambda r: np.cumsum(r.integers(0, 2, 400)).astype(float), "laps", ("discrete", "count")),
-        (lambda r: r.normal(size=400), "speed", ("continuous", "linear")),
-        (lambda r: np.mod(np.cumsum(np.full(400, 0.11)), 2 * np.pi), "headdirection", ("continuous", "circular")),
-        (lambda r: np.arange(400) * 0.05, "clock", ("discrete", "timeline")),
-    ],
-)
-def test_types(make, name, want):
-    assert typing.decide(make(np.random.default_rng(0)), name)[:2] == want
+def test_types(spark):
+    r = np.random.default_rng(0)
+    series = {
+        "lick": ((r.random(400) > 0.6).astype(float), ("discrete", "binary")),
+        "state": (r.integers(0, 5, 400).astype(float), ("discrete", "categorical")),
+        "laps": (np.cumsum(r.integers(0, 2, 400)).astype(float), ("discrete", "count")),
+        "speed": (5 * r.normal(size=400), ("continuous", "linear")),
+        "headdirection": (np.mod(np.cumsum(np.full(400, 0.11)), 2 * np.pi), ("continuous", "circular")),
+        "clock": (np.arange(400) * 0.05, ("discrete", "timeline")),
+        "constant": (np.full(60, 3.0), ("discrete", "count")),
+        "single": (np.array([0.5]), None),
+    }
+    df = spark.createDataFrame([(k, t, float(v), k) for k, (x, _) in series.items() for t, v in enumerate(x)], "key string, t bigint, value double, name string").repartition(5)
+    got = {x.key: (x.primary_type, x.subtype) for x in typing.infer_types(df).collect()}
+    assert set(got) == set(series) and {k: v for k, v in got.items() if k != "single"} == {k: w for k, (_, w) in series.items() if w}
+    assert typing.infer_types(df.limit(0)).count() == 0
 
 
 def test_types_of_rows(spark):
