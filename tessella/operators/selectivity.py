@@ -151,14 +151,3 @@ def feature_pairs(scores: DataFrame, key: str, on: str, value: str) -> DataFrame
     bits = lambda k: -0.5 * F.log2(1 - k * k)
     given = lambda u, v: F.try_divide(u - v * r, F.sqrt((1 - v * v) * (1 - r * r)))
     return c.select("unit", "f1", "f2", bits(p).alias("mi_1"), bits(q).alias("mi_2"), bits(given(p, q)).alias("cmi_1"), bits(given(q, p)).alias("cmi_2"))
-
-
-def weaker_of_redundant(pairs: DataFrame, cmi: str, mi: str) -> DataFrame:
-    """Decision between two features of one unit. The pair's information about the unit, less what
-    each alone gives, is averaged over both orders; negative means the features are redundant, and
-    the one whose conditional information is smaller is dropped; else both stay (0.5 each)."""
-    gain = (F.col(f"{cmi}_1") - F.col(f"{mi}_1") + F.col(f"{cmi}_2") - F.col(f"{mi}_2")) / 2
-    a, b = F.col(f"{cmi}_1"), F.col(f"{cmi}_2")
-    score = F.when(gain >= 0, 0.5).when(F.abs(a - b) < 1e-6, 0.5).when(a > b, 1.0).otherwise(0.0)
-    return pairs.withColumn("interaction", gain).withColumn("first_score", score)
-

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from tessella.operators import information as I
 from tessella.operators import recurrence as Q
 from tessella.operators import relational as R
-from tessella.operators import selectivity as S
 from tessella.plans.series import HOURLY, hourly
 from tessella.session import read
 
@@ -47,13 +46,6 @@ def feature_redundancy(spark, d):
     return j.select("mouse", "feature_a", "feature_b", "both", F.round(I.binary_mi(F.col("both"), F.col("ka"), F.col("kb"), F.col("n")), 6).alias("mi"))
 
 
-def redundancy_decision(spark, d):
-    """Every series as a unit, every two others as its features: their information about the unit,
-    alone and given each other, from normal scores, and which of the two is kept."""
-    z = I.normal_scores(hourly(spark, d), ["series"], "value", ["t"]).select("series", "t", "z")
-    return _r(S.weaker_of_redundant(S.feature_pairs(z, "series", "t", "z"), "cmi", "mi"), "mi_1", "mi_2", "cmi_1", "cmi_2", "interaction")
-
-
 def retention_enrichment(spark, d):
     """Matched neurons selective to a feature in two sessions, against the same count after the
     neurons of the later session changed places by whole-number arithmetic, 50 times."""
@@ -68,7 +60,7 @@ def retention_enrichment(spark, d):
     return every.groupBy("feature").agg(F.max(F.when(F.col("round") == 0, F.col("n"))).alias("observed"), F.round(F.avg(F.when(F.col("round") > 0, F.col("n"))), 6).alias("expected"))
 
 
-_NAMES = [delay_information, delay_choice, false_neighbours, feature_redundancy, redundancy_decision, retention_enrichment]
+_NAMES = [delay_information, delay_choice, false_neighbours, feature_redundancy, retention_enrichment]
 
 
 def queries():
@@ -77,7 +69,6 @@ def queries():
 
 def oracle_sql():
     from tessella.plans.crossession import _T
-    from tessella.plans.stats import SCORES
 
     lag = f"""{HOURLY}, q AS (SELECT series, t, ntile(4) OVER (PARTITION BY series ORDER BY value, t) AS b FROM hourly),
 p AS (SELECT x.series, l.lag, x.b AS bx, y.b AS by_, count(*) AS n FROM (SELECT unnest(range(1, 25)) AS lag) l, q x JOIN q y ON x.series = y.series WHERE y.t = x.t + l.lag GROUP BY ALL),
@@ -89,6 +80,5 @@ mi AS (SELECT p.series, p.lag, sum(n / t * log2(n * t / (a.s * c.s))) AS mi FROM
         "delay_information": f"WITH {lag} SELECT series AS key, CAST(lag AS INT) AS lag, round(mi, 6) AS mi FROM mi",
         "delay_choice": f"WITH {lag}, r AS (SELECT series, lag, round(mi, 9) AS m FROM mi), w AS (SELECT *, lag(m) OVER o AS p, lead(m) OVER o AS x, first_value(m) OVER o AS f FROM r WINDOW o AS (PARTITION BY series ORDER BY lag)) SELECT series AS key, CAST(coalesce(min(lag) FILTER (WHERE m < p AND m < x), min(lag) FILTER (WHERE m < f / {math.e!r}), 8) AS INT) AS delay FROM w GROUP BY series",
         "feature_redundancy": f"WITH {_T}, s AS (SELECT DISTINCT mouse, session, neuron_idx, feature FROM sig), u AS (SELECT mouse, count(DISTINCT (session, neuron_idx)) AS n FROM tidy GROUP BY mouse), k AS (SELECT mouse, feature, count(*) AS k FROM s GROUP BY ALL), b AS (SELECT a.mouse, a.feature AS feature_a, c.feature AS feature_b, count(*) AS both_ FROM s a JOIN s c ON a.mouse = c.mouse AND a.session = c.session AND a.neuron_idx = c.neuron_idx AND a.feature < c.feature GROUP BY ALL), j AS (SELECT b.*, x.k AS ka, y.k AS kb, n FROM b JOIN k x ON x.mouse = b.mouse AND x.feature = feature_a JOIN k y ON y.mouse = b.mouse AND y.feature = feature_b JOIN u ON u.mouse = b.mouse) SELECT mouse, feature_a, feature_b, both_ AS \"both\", round(greatest(0, {part('both_', 'ka * kb')} + {part('(ka - both_)', 'ka * (n - kb)')} + {part('(kb - both_)', '(n - ka) * kb')} + {part('(n - ka - kb + both_)', '(n - ka) * (n - kb)')}), 6) AS mi FROM j",
-        "redundancy_decision": f"WITH {SCORES}, c AS (SELECT x.series AS unit, a.series AS f1, b.series AS f2, corr(x.z, a.z) AS p, corr(x.z, b.z) AS q, corr(a.z, b.z) AS r FROM scores x JOIN scores a ON a.t = x.t AND a.series <> x.series JOIN scores b ON b.t = x.t AND b.series <> x.series AND a.series < b.series GROUP BY ALL), m AS (SELECT *, -0.5 * log2(1 - p * p) AS m1, -0.5 * log2(1 - q * q) AS m2, -0.5 * log2(1 - power((p - q * r) / sqrt((1 - q * q) * (1 - r * r)), 2)) AS c1, -0.5 * log2(1 - power((q - p * r) / sqrt((1 - p * p) * (1 - r * r)), 2)) AS c2 FROM c), g AS (SELECT *, (c1 - m1 + c2 - m2) / 2 AS i FROM m) SELECT unit, f1, f2, round(m1, 6) AS mi_1, round(m2, 6) AS mi_2, round(c1, 6) AS cmi_1, round(c2, 6) AS cmi_2, round(i, 6) AS interaction, CASE WHEN i >= 0 OR abs(c1 - c2) < 1e-6 THEN 0.5 WHEN c1 > c2 THEN 1.0 ELSE 0.0 END AS first_score FROM g",
         "retention_enrichment": f"WITH {_T}, s AS (SELECT DISTINCT mouse, session, feature, CAST(matched_id AS BIGINT) AS id FROM sig WHERE matched_id IS NOT NULL AND session IN ('1D', '2D')), m AS (SELECT mouse, max(matched_id) + 1 AS m FROM tidy WHERE matched_id IS NOT NULL GROUP BY mouse), v AS (SELECT s.mouse, feature, k, (id + k * 7919) % m AS id FROM s JOIN m ON m.mouse = s.mouse, (SELECT unnest(range(0, 51)) AS k) WHERE session = '2D'), h AS (SELECT v.feature, k, count(f.id) AS n FROM v LEFT JOIN (SELECT * FROM s WHERE session = '1D') f ON f.mouse = v.mouse AND f.feature = v.feature AND f.id = v.id GROUP BY ALL) SELECT feature, max(n) FILTER (WHERE k = 0) AS observed, round(avg(n) FILTER (WHERE k > 0), 6) AS expected FROM h GROUP BY feature",
     }
