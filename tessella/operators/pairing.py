@@ -170,6 +170,8 @@ def pairs_by_blocks(units: DataFrame, features: DataFrame, run: Callable[[Mappin
     schema = T.StructType([T.StructField("unit", units.schema["key"].dataType), T.StructField("feature", features.schema["key"].dataType), *fields])
 
     def block(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame([], columns=schema.names)
         held = [{k: Series.of(kind, np.array([np.asarray(r, float) for r in x])) for k, kind, x in zip(s["key"], s["kind"], s["x"])} for s in (a, b)]
         # constant series tell nothing
         held = [{k: v for k, v in h.items() if (len(v.x) > 1 if v.kind == "discrete" else (v.x**2).sum(axis=1).min() > 1e-12)} for h in held]
