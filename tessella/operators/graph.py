@@ -49,12 +49,12 @@ def symmetry_index(edges: DataFrame) -> DataFrame:
     return e.agg(F.count("*").alias("_n")).crossJoin(both).select(F.try_divide(F.col("_s"), F.col("_n")).alias("symmetry"))
 
 
-def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(id, component): least id of the connected component. Labels halve their distance to the
     root each round (small-star and large-star), so rounds grow with the logarithm of the size."""
     e = cut(edges.select(F.col("src").alias("u"), F.col("dst").alias("v")).filter("u <> v").distinct())
     nodes = edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
-    for _ in range(rounds):
+    while True:
         # large star: every greater neighbour goes to the least of the neighbourhood
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -78,6 +78,14 @@ def giant_component(edges: DataFrame) -> DataFrame:
     return c.join(F.broadcast(best.select("component")), "component", "left_semi").select("id")
 
 
+def clusters_by_size(edges: DataFrame) -> DataFrame:
+    """(place, component, size): components by falling size, the one with the least id first among
+    equals; place counts from 1."""
+    size = components(edges).groupBy("component").agg(F.count("*").alias("size"))
+    placed = global_rank(size.withColumn("_s", -F.col("size")), [], ["_s", "component"], "place")
+    return placed.select((F.col("place") + 1).alias("place"), "component", "size")
+
+
 def laplacian(edges: DataFrame) -> DataFrame:
     """(i, j, value) of D - A, D the column sums of A."""
     a = edges.groupBy(F.col("src").alias("i"), F.col("dst").alias("j")).agg(F.sum("w").alias("w"))
@@ -107,13 +115,15 @@ def clustering(edges: DataFrame) -> DataFrame:
     return deg.join(tri, "id", "left").select("id", t.alias("triangles"), F.coalesce(F.try_divide(2.0 * t, k * (k - 1)), F.lit(0.0)).alias("coefficient"))
 
 
-def hops(edges: DataFrame, sources: DataFrame, most: int = 20) -> DataFrame:
-    """(source, id, hops): shortest unweighted paths from the given nodes (column id)."""
+def hops(edges: DataFrame, sources: DataFrame) -> DataFrame:
+    """(source, id, hops): shortest unweighted paths from the given nodes (column id), until no new
+    node is reached."""
     e = undirected(edges)
     e = cut(e.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(e.select(F.col("b").alias("u"), F.col("a").alias("v"))))
     seen = cut(sources.select(F.col("id").alias("source"), "id", F.lit(0).alias("hops")))
-    front = seen
-    for k in range(1, most + 1):
+    front, k = seen, 0
+    while True:
+        k += 1
         reach = front.join(e, front["id"] == e["u"]).select("source", F.col("v").alias("id")).distinct()
         front = cut(reach.join(seen, ["source", "id"], "left_anti").withColumn("hops", F.lit(k)))
         if front.isEmpty():

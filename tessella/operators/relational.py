@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.operators.ordering import running_sum
+from tessella.operators.ordering import order_statistics, running_sum
 
 #: The default thresholds of a significant pair.
 ME_LEAST, PVAL_MOST = 0.04, 0.001
@@ -195,19 +195,124 @@ def constant_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def outliers(df: DataFrame, keys: Sequence[str], value: str, method: str, threshold: float) -> DataFrame:
     """Rows with a flag `outlier`: zscore (beyond threshold deviations, strict), iqr (outside
-    threshold interquartile ranges, bounds inside), mad (1.4826 median deviations)."""
-    v = number(value)
+    threshold interquartile ranges, bounds inside), mad (1.4826 median deviations), quantile (outside
+    the quantiles threshold and 1 - threshold, bounds inside). Quantiles are exact and come from the
+    distributed order, so a group may be as large as the table."""
+    v, keys = number(value), list(keys)
+
+    def quantiles(rows: DataFrame, c: str, probs: Sequence[float]) -> DataFrame:
+        """One column _q0, _q1, ... per probability."""
+        q = order_statistics(rows, keys, c, probs)
+        return q.groupBy(*keys).agg(*[F.max(F.when(F.col("prob") == p, F.col("result"))).alias(f"_q{i}") for i, p in enumerate(probs)])
+
     if method == "zscore":
         s = df.groupBy(*keys).agg(F.avg(v).alias("_m"), F.stddev_pop(v).alias("_s"))
         flag = ~(F.abs(v - F.col("_m")) < threshold * F.col("_s"))
     elif method == "iqr":
-        s = df.groupBy(*keys).agg(F.percentile(v, F.array(F.lit(0.25), F.lit(0.75))).alias("_q"))
-        span = threshold * (F.col("_q")[1] - F.col("_q")[0])
-        flag = (v < F.col("_q")[0] - span) | (v > F.col("_q")[1] + span)
+        s = quantiles(df, value, [0.25, 0.75])
+        span = threshold * (F.col("_q1") - F.col("_q0"))
+        flag = (v < F.col("_q0") - span) | (v > F.col("_q1") + span)
+    elif method == "quantile":
+        s = quantiles(df, value, [threshold, 1 - threshold])
+        flag = (v < F.col("_q0")) | (v > F.col("_q1"))
     elif method == "mad":
-        m = df.groupBy(*keys).agg(F.percentile(v, 0.5).alias("_m"))
-        s = df.join(m, list(keys)).groupBy(*keys).agg(F.first("_m").alias("_m"), F.percentile(F.abs(v - F.col("_m")), 0.5).alias("_s"))
-        flag = F.abs(v - F.col("_m")) > threshold * 1.4826 * F.col("_s")
+        m = quantiles(df, value, [0.5]).withColumnRenamed("_q0", "_m")
+        off = df.join(m, keys, "left").withColumn("_d", F.abs(v - F.col("_m")))
+        s = m.join(quantiles(off, "_d", [0.5]), keys)
+        flag = F.abs(v - F.col("_m")) > threshold * 1.4826 * F.col("_q0")
     else:
         raise ValueError(f"no such method: {method}")
-    return df.join(s, list(keys)).withColumn("outlier", F.coalesce(flag, F.lit(False)))
+    return df.join(s, keys, "left").withColumn("outlier", F.coalesce(flag, F.lit(False)))
+
+
+def stats_slice(fact: DataFrame, stats: Sequence[str], units: Sequence[int] | None = None, features: Sequence[str] | None = None) -> DataFrame:
+    """(pair, stat, value): the chosen statistics of the chosen units and features, a row each."""
+    out = fact
+    for name, values in (("neuron_idx", units), ("feature", features)):
+        if values is not None:
+            out = out.filter(F.col(name).isin(list(values)))
+    return out.select(*PAIR, *[F.col(c).cast("double").alias(c) for c in stats]).unpivot(PAIR, list(stats), "stat", "value")
+
+
+def where_all(df: DataFrame, conditions: Sequence[tuple[str, str, object]], allow_missing: bool = False) -> DataFrame:
+    """Rows for which every (key, operator, value) holds; operators are =, > and <. Null and NaN meet
+    no condition. A key that is no column is an error, or with allow_missing meets no condition."""
+    compare = {"=": lambda c, v: c == v, ">": lambda c, v: c > v, "<": lambda c, v: c < v}
+    every = F.lit(True)
+    for key, op, value in conditions:
+        if op not in compare:
+            raise ValueError(f"no such operator: {op}")
+        if key not in df.columns:
+            if not allow_missing:
+                raise KeyError(key)
+            every = F.lit(False)
+            continue
+        kind = dict(df.dtypes)[key]
+        every = every & F.coalesce(compare[op](number(key) if kind in ("double", "float") else F.col(key), F.lit(value)), F.lit(False))
+    return df.filter(every)
+
+
+def measure_by_count(fact: DataFrame, sessions: Sequence[str]) -> DataFrame:
+    """(mouse, matched_id, mi_<session>..., n_<session>...): mean information of a matched neuron's
+    significant pairs per session, and the number of features it is selective to (0: none)."""
+    matched = fact.filter(F.col("matched_id").isNotNull())
+    sig, on = significant_pairs(matched), ["mouse", "matched_id"]
+    mi = matched.groupBy(*on).pivot("session", list(sessions)).agg(F.avg(number("me")))
+    n = sig.groupBy(*on).pivot("session", list(sessions)).agg(F.count_distinct("feature"))
+    mi = mi.withColumnsRenamed({s: f"mi_{s}" for s in sessions})
+    return mi.join(n.withColumnsRenamed({s: f"n_{s}" for s in sessions}), on, "left").na.fill(0, [f"n_{s}" for s in sessions])
+
+
+#: Rows of a sheet that annotates a table and may be broadcast.
+SHEET_ROWS = 100_000
+
+
+def annotated(df: DataFrame, sheet: DataFrame, on: Sequence[str]) -> DataFrame:
+    """df with the columns of a sheet, null where it has no row; of several rows for one key the
+    least holds. The sheet is broadcast if its counted rows are few, else the join shuffles."""
+    rest = [c for c in sheet.columns if c not in on]
+    one = sheet.dropna(subset=list(on)).groupBy(*on).agg(F.min(F.struct(*rest)).alias("_s"))
+    if one.limit(SHEET_ROWS + 1).count() <= SHEET_ROWS:
+        one = F.broadcast(one)
+    return df.join(one, list(on), "left").select(*df.columns, *[F.col(f"_s.{c}").alias(c) for c in rest])
+
+
+def participants_jaccard(members: DataFrame, group: str, member: Sequence[str]) -> DataFrame:
+    """(group_a, group_b, common, united, jaccard) of the member sets of every two groups that share
+    one; sizes come from counts, only shared members are joined."""
+    m = members.select(group, F.struct(*member).alias("_m")).distinct()
+    size = m.groupBy(group).agg(F.count("*").alias("_n"))
+    both = m.select(F.col(group).alias("group_a"), "_m").join(m.select(F.col(group).alias("group_b"), "_m"), "_m").filter("group_a < group_b").groupBy("group_a", "group_b").agg(F.count("*").alias("common"))
+    s = both.join(size.select(F.col(group).alias("group_a"), F.col("_n").alias("_a")), "group_a").join(size.select(F.col(group).alias("group_b"), F.col("_n").alias("_b")), "group_b")
+    united = F.col("_a") + F.col("_b") - F.col("common")
+    return s.select("group_a", "group_b", "common", united.alias("united"), (F.col("common") / united).alias("jaccard"))
+
+
+class Exclusions:
+    """Mice and matched neurons that queries leave out, kept as a small table in memory or, between
+    sessions, as Parquet."""
+
+    def __init__(self, spark, keys: DataFrame | None = None) -> None:
+        self.spark = spark
+        self.keys = keys if keys is not None else spark.createDataFrame([], "mouse string, matched_id int")
+
+    def add(self, keys: DataFrame) -> Exclusions:
+        return Exclusions(self.spark, self.keys.unionByName(keys.select("mouse", F.col("matched_id").cast("int").alias("matched_id"))).distinct())
+
+    def remove(self, keys: DataFrame) -> Exclusions:
+        gone = keys.select("mouse", F.col("matched_id").cast("int").alias("matched_id")).distinct()
+        same = F.col("k.mouse").eqNullSafe(F.col("g.mouse")) & F.col("k.matched_id").eqNullSafe(F.col("g.matched_id"))
+        return Exclusions(self.spark, self.keys.alias("k").join(gone.alias("g"), same, "left_anti"))
+
+    def applied(self, fact: DataFrame) -> DataFrame:
+        """fact without the excluded rows; a key without matched neuron excludes the whole mouse."""
+        mice = self.keys.filter("matched_id is null").select("mouse").distinct()
+        units = self.keys.filter("matched_id is not null")
+        return fact.join(mice, "mouse", "left_anti").join(units, ["mouse", "matched_id"], "left_anti")
+
+    def save(self, path: str) -> None:
+        self.keys.write.mode("overwrite").parquet(path)
+
+    @classmethod
+    def load(cls, spark, path: str) -> Exclusions:
+        return cls(spark, spark.read.schema("mouse string, matched_id int").parquet(path))

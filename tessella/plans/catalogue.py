@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.plans import crossession, decisions, geometry, models, selective, signals, stats, streams, training
+from tessella.plans import crossession, decisions, geometry, models, selective, signals, stats, streams, tables, training
 
-_PARTS = [training, crossession, stats, signals, geometry, streams, models, decisions, selective]
+_PARTS = [training, crossession, stats, signals, geometry, streams, models, decisions, selective, tables]
 FLAGSHIP = training.p2_wide
 
 

@@ -45,10 +45,14 @@ def asymmetric_edges(spark, d):
     return N.asymmetric_part(N.without_loops(_strong(spark, d))).select("src", "dst", "w")
 
 
-def trade_components(spark, d):
+def heavy(spark, d):
+    """Edges of trade far above the mean."""
     t = trade(spark, d)
-    heavy = t.crossJoin(F.broadcast(t.agg(F.avg("w").alias("_m")))).filter("w > 1.6 * _m").drop("_m")
-    return N.components(heavy)
+    return t.crossJoin(F.broadcast(t.agg(F.avg("w").alias("_m")))).filter("w > 1.6 * _m").drop("_m")
+
+
+def trade_components(spark, d):
+    return N.components(heavy(spark, d))
 
 
 def trade_laplacian(spark, d):
@@ -135,6 +139,7 @@ def queries():
 
 _TRADE = "trade AS (SELECT CAST(c_nationkey AS BIGINT) AS src, CAST(s_nationkey AS BIGINT) AS dst, CAST(count(*) AS DOUBLE) AS w FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL)"
 _STRONG = f"{_TRADE}, strong AS (SELECT * FROM trade WHERE w > 1.15 * (SELECT avg(w) FROM trade)), e AS (SELECT * FROM strong WHERE src <> dst), u AS (SELECT least(src, dst) AS a, greatest(src, dst) AS b FROM e GROUP BY ALL), n AS (SELECT a AS x, b AS y FROM u UNION ALL SELECT b, a FROM u)"
+HEAVY = f"{_TRADE}, h AS (SELECT * FROM trade WHERE w > 1.6 * (SELECT avg(w) FROM trade))"
 _P = "p AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS f FROM embeddings WHERE embedding IS NOT NULL)"
 _NEAR = "(SELECT a.id AS query, b.id AS id, list_distance({x}, {y}) AS distance, CAST(row_number() OVER (PARTITION BY a.id ORDER BY round(list_distance({x}, {y}) ** 2, 12), b.id) AS INT) AS rank FROM p a JOIN p b ON a.id % 20 = 0 AND a.id <> b.id QUALIFY rank <= {k})"
 _PAT = "x AS (SELECT label, unnest(CAST(embedding AS DOUBLE[])) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings), pat AS (SELECT label, i, avg(x) AS v FROM x GROUP BY ALL)"

@@ -26,11 +26,14 @@ def build_session(cpus: int | str = "*", partitions: int = 8, memory: str = "8g"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share. The session's own setting holds; only where none is set
-    (tests, a laptop) a temporary folder is chosen."""
+    """The folder all executors share. The session's own setting holds; only where none is set and all
+    runs in this process (tests, a laptop) a temporary folder is chosen. On a cluster a machine's own
+    folder would be lost with it, so there it is an error."""
     sc = spark.sparkContext
     there = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if there is None:
+        if not sc.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         there = "file://" + tempfile.mkdtemp(prefix="tessella-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(there)

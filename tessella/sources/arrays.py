@@ -15,11 +15,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 SCHEMA = "file string, name string, component int, t bigint, value double"
-#: Names under which the unit signals may be stored.
-SIGNAL_NAMES = ("calcium", "activations", "neural_data", "activity", "rates")
 STEP = 65_536
 
 
@@ -69,3 +69,21 @@ class ArrayArchive(DataSource):
         if not path:
             raise ValueError("a path is needed")
         return ArrayReader(path.removeprefix("file:"))
+
+
+def catalogue_rows(df: DataFrame, id_: str, array: str) -> DataFrame:
+    """(id, t, value): the elements of an array column as rows; null arrays and null elements have none."""
+    return df.select(F.col(id_).alias("id"), F.posexplode(F.col(array)).alias("t", "value")).filter("value is not null").select("id", "t", F.col("value").cast("double").alias("value"))
+
+
+def from_arrays(spark: SparkSession, arrays: dict[str, np.ndarray]) -> DataFrame:
+    """(name, component, t, value): named arrays of one or two dimensions as rows; a two-dimensional
+    one has a component per row. Values that are no numbers, and null, are left out."""
+    rows = []
+    for name, a in arrays.items():
+        x = np.atleast_2d(np.asarray(a, float))
+        if x.ndim != 2:
+            raise ValueError(f"{name} has more than two dimensions")
+        rows += [(name, k, line.tolist()) for k, line in enumerate(x)]
+    df = spark.createDataFrame(rows, "name string, component int, line array<double>")
+    return df.select("name", "component", F.posexplode("line").alias("t", "value")).filter(~F.isnan("value")).withColumn("t", F.col("t").cast("long"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,9 +41,11 @@ def tidy_pairs(stats: DataFrame, significance: DataFrame, matching: DataFrame |
     return out.join(matching, ["mouse", "session", "neuron_idx"], "left") if matching is not None else out.withColumn("matched_id", F.lit(None).cast("int"))
 
 
-def matching_table(spark: SparkSession, path: str, sessions: list[str], separator: str = ",") -> DataFrame:
+def matching_table(spark: SparkSession, path: str, sessions: list[str], separator: str | None = None) -> DataFrame:
     """(mouse, matched_id, session, neuron_idx): files without header, a row per matched neuron and a
-    column per session, 0 for absent; the file's name is the mouse. The row's place is its id."""
+    column per session, 0 for absent; the file's name is the mouse. The row's place is its id. Without
+    a separator the one that the first line suggests is taken."""
+    separator = re.escape(separator or separator_of(spark, path))
     lines = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.csv$", 1).alias("mouse"), F.split("value", r"\r?\n").alias("_l"))
     rows = lines.select("mouse", F.posexplode("_l").alias("matched_id", "_t")).filter("trim(_t) <> ''").withColumn("_f", F.split("_t", separator))
     long = rows.select("mouse", "matched_id", F.explode(F.arrays_zip(F.array(*[F.lit(s) for s in sessions]).alias("session"), F.transform("_f", lambda x: F.trim(x).try_cast("int")).alias("n"))).alias("_z"))
@@ -70,3 +75,27 @@ def write_wide_csv(df: DataFrame, path: str, rows: list[str], column: str, colum
     keys = [*rows, *([sheet] if sheet else [])]
     wide = df.groupBy(*keys).pivot(column, columns).agg(F.first(value))
     (wide.write.partitionBy(sheet) if sheet else wide.write).mode("overwrite").option("header", True).csv(path)
+
+
+def built(spark: SparkSession, path: str, build) -> DataFrame:
+    """The table at a path; build() makes it if there is none yet (cache or build)."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException:
+        build().write.mode("error").parquet(path)
+        return spark.read.parquet(path)
+
+
+def write_json(df: DataFrame, path: str) -> None:
+    """A line of JSON per row, nulls included, so that every row has every field."""
+    df.write.mode("overwrite").option("ignoreNullFields", False).json(path)
+
+
+def read_json(spark: SparkSession, path: str, schema) -> DataFrame:
+    return spark.read.schema(schema).json(path)
+
+
+def separator_of(spark: SparkSession, path: str, candidates: str = ",;\t|") -> str:
+    """The candidate that splits the first line of a file into most fields; the first one among equals."""
+    line = (spark.read.text(path).limit(1).collect() or [("",)])[0][0]
+    return max(candidates, key=line.count)

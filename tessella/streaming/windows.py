@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -54,19 +55,33 @@ def threshold_runs(events: DataFrame, key: str, threshold: float) -> DataFrame:
     return events.groupBy(key).applyInPandasWithState(update, f"{key} {kind}, n_high long, longest long", "n long, run long, longest long", "update", GroupStateTimeout.NoTimeout)
 
 
-def caught_up(stream: DataFrame, keys: list[str], mode: str = "update") -> DataFrame:
-    """Run a stream until it has read all there is; the last state of each key, as a table. Batches
-    are written to the shared folder, so nothing passes through the driver."""
-    spark = stream.sparkSession
-    base = os.path.join(shared_dir(spark), f"stream-{uuid.uuid4().hex}")
-    out = f"{base}/out"
+def run_to_end(stream: DataFrame, base: str, mode: str = "update") -> DataFrame | None:
+    """Run a stream until it has read all there is; its batches are added to the table base/out, so
+    nothing passes through the driver, and what was read is noted in base/state: a later run with the
+    same base reads only what has come since. The whole table, None if nothing was ever written."""
+    spark, out = stream.sparkSession, f"{base}/out"
 
     def save(batch: DataFrame, number: int) -> None:
         batch.withColumn("_batch", F.lit(number)).write.mode("append").parquet(out)
 
     q = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state").foreachBatch(save).trigger(availableNow=True).start()
     q.awaitTermination()
-    every = spark.read.parquet(out)
+    try:
+        return spark.read.parquet(out)
+    except AnalysisException:
+        return None
+
+
+def caught_up(stream: DataFrame, keys: list[str], mode: str = "update") -> DataFrame:
+    """Run a stream from its beginning until it has read all there is; the last state of each key, as
+    a table, in mode complete that of the last batch."""
+    spark = stream.sparkSession
+    every = run_to_end(stream, os.path.join(shared_dir(spark), f"stream-{uuid.uuid4().hex}"), mode)
+    if every is None:
+        return spark.createDataFrame([], stream.schema)
+    if mode == "complete":
+        last = every.agg(F.max("_batch").alias("_last"))
+        return every.join(F.broadcast(last), F.col("_batch") == F.col("_last")).drop("_batch", "_last")  # one row
     if not keys:
         return every.drop("_batch")
     rest = [c for c in every.columns if c not in keys and c != "_batch"]
