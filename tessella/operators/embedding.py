@@ -169,37 +169,51 @@ def embed(points: DataFrame, landmarks: DataFrame, method: str, k: int = 2, **op
     return points.mapInPandas(run, "id long, features array<double>")
 
 
+#: Pairs that one block of queries may have; their vectors are sent to every task.
+BLOCK_PAIRS = 20_000
+
+
 def closer_counts(points: DataFrame, pairs: DataFrame) -> DataFrame:
     """(query, id, rank): how many points other than the query are nearer to it than id is (ties: the
-    lesser id). Pairs are few for each query; blocks of them meet all points."""
+    lesser id). Blocks of pairs meet all points, and only counts leave a partition."""
     at = points.select(F.col("id").alias("_i"), "features")
     full = pairs.join(at.withColumnRenamed("features", "q"), F.col("query") == F.col("_i")).drop("_i").join(at.withColumnRenamed("features", "x"), F.col("id") == F.col("_i")).drop("_i")
-    rows = full.limit(200_001).collect()
-    if len(rows) > 200_000:
-        raise ValueError("more than 200,000 pairs")
-    if not rows:
+    parts: list[DataFrame] = []
+    rows: list = []
+
+    def flush() -> None:
+        qid, pid = np.array([r.query for r in rows]), np.array([r.id for r in rows])
+        q, x = np.array([r.q for r in rows], float), np.array([r.x for r in rows], float)
+        held = points.sparkSession.sparkContext.broadcast((qid, pid, q, np.round(((q - x) ** 2).sum(axis=1), 12)))
+
+        def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            qid, pid, q, limit = held.value
+            n = np.zeros(len(qid), np.int64)
+            uniq, first, inverse = np.unique(qid, return_index=True, return_inverse=True)
+            of = [np.flatnonzero(inverse == u) for u in range(len(uniq))]
+            for pdf in batches:
+                p, i = np.array(pdf["features"].tolist(), float).reshape(len(pdf), -1), pdf["id"].to_numpy()
+                for u, mine in enumerate(of):
+                    other = i != uniq[u]
+                    d = np.round(((p[other] - q[first[u]]) ** 2).sum(axis=1), 12)
+                    n[mine] += ((d[None, :] < limit[mine, None]) | ((d[None, :] == limit[mine, None]) & (i[other][None, :] < pid[mine, None]))).sum(axis=1)
+            yield pd.DataFrame({"query": qid, "id": pid, "n": n})
+
+        parts.append(points.mapInPandas(count, "query long, id long, n long"))
+
+    for r in full.toLocalIterator():
+        rows.append(r)
+        if len(rows) == BLOCK_PAIRS:
+            flush()
+            rows = []
+    if rows:
+        flush()
+    if not parts:
         return pairs.withColumn("rank", F.lit(0).cast("long")).limit(0)
-    qid, pid = np.array([r.query for r in rows]), np.array([r.id for r in rows])
-    q, x = np.array([r.q for r in rows], float), np.array([r.x for r in rows], float)
-    limit = np.round(((q - x) ** 2).sum(axis=1), 12)
-    held = points.sparkSession.sparkContext.broadcast((qid, pid, q, limit))
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        qid, pid, q, limit = held.value
-        n = np.zeros(len(qid), np.int64)
-        uniq, inverse = np.unique(qid, return_inverse=True)
-        first = np.array([np.flatnonzero(qid == u)[0] for u in uniq])
-        for pdf in batches:
-            p, i = np.array(pdf["features"].tolist(), float).reshape(len(pdf), -1), pdf["id"].to_numpy()
-            for u in range(len(uniq)):
-                d = np.round(((p - q[first[u]]) ** 2).sum(axis=1), 12)
-                mine = np.flatnonzero(inverse == u)
-                other = i != uniq[u]
-                for m in mine:
-                    n[m] += int((other & ((d < limit[m]) | ((d == limit[m]) & (i < pid[m])))).sum())
-        yield pd.DataFrame({"query": qid, "id": pid, "n": n})
-
-    return points.mapInPandas(count, "query long, id long, n long").groupBy("query", "id").agg(F.sum("n").alias("rank"))
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    return every.groupBy("query", "id").agg(F.sum("n").alias("rank"))
 
 
 def trustworthiness(high: DataFrame, near_low: DataFrame, k: int) -> DataFrame:

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessella.operators.ordering import global_rank
+
 #: Bytes of query vectors sent to every task at once; more queries are searched in further blocks.
 BLOCK_BYTES = 64_000_000
 #: Features whose covariance may be brought to the driver.
@@ -80,6 +82,112 @@ def nearest(all_points: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return top.select("query", F.posexplode("_t").alias("_p", "_x")).select("query", F.col("_x.id").alias("id"), F.sqrt("_x.d").alias("distance"), (F.col("_p") + 1).alias("rank"))
 
 
+def _distance(metric: str | Callable[[np.ndarray, np.ndarray], np.ndarray]) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """A function from two sets of points (rows) to the matrix of their distances."""
+    named = {
+        "euclidean": lambda a, b: np.sqrt(np.maximum((a**2).sum(1)[:, None] - 2 * a @ b.T + (b**2).sum(1)[None], 0)),
+        "cityblock": lambda a, b: np.abs(a[:, None] - b[None]).sum(2),
+        "chebyshev": lambda a, b: np.abs(a[:, None] - b[None]).max(2),
+        "cosine": lambda a, b: 1 - (a @ b.T) / np.maximum(np.sqrt((a**2).sum(1)[:, None] * (b**2).sum(1)[None]), 1e-300),
+    }
+    if callable(metric):
+        return metric
+    if metric not in named:
+        raise ValueError(f"no such metric: {metric}")
+    return named[metric]
+
+
+def _met(all_points: DataFrame, queries: DataFrame, rows: Callable[[np.ndarray, np.ndarray, np.ndarray], pd.DataFrame], schema: str, metric) -> DataFrame:
+    """Blocks of queries meet all points: rows(query ids, point ids, distances) for each block and
+    batch, the query itself at infinite distance."""
+    f, out = _distance(metric), None
+    for ids, vectors in _blocks(queries):
+        held = all_points.sparkSession.sparkContext.broadcast((ids, vectors))
+
+        def scan(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
+            qid, q = held.value
+            for pdf in batches:
+                x, pid = np.array(pdf["features"].tolist(), float).reshape(len(pdf), -1), pdf["id"].to_numpy()
+                for a in range(0, len(pid), 512):
+                    d = np.asarray(f(q, x[a : a + 512]), float).copy()
+                    d[qid[:, None] == pid[None, a : a + 512]] = np.inf
+                    yield rows(qid, pid[a : a + 512], d)
+
+        part = all_points.mapInPandas(scan, schema)
+        out = part if out is None else out.unionByName(part)
+    return all_points.sparkSession.createDataFrame([], schema) if out is None else out
+
+
+def nearest_by(all_points: DataFrame, queries: DataFrame, k: int, metric) -> DataFrame:
+    """nearest for any metric: a name (euclidean, cityblock, chebyshev, cosine) or a function from
+    two arrays of points to the matrix of their distances."""
+
+    def best(qid: np.ndarray, pid: np.ndarray, d: np.ndarray) -> pd.DataFrame:
+        order = np.lexsort((np.broadcast_to(pid, d.shape), np.round(d, 9)), axis=1)[:, :k]
+        flat = pd.DataFrame({"query": np.repeat(qid, order.shape[1]), "id": pid[order].ravel(), "d": np.take_along_axis(d, order, 1).ravel()})
+        return flat[np.isfinite(flat["d"])]
+
+    part = _met(all_points, queries, best, "query long, id long, d double", metric)
+    top = part.groupBy("query").agg(F.slice(F.array_sort(F.collect_list(F.struct(F.round("d", 9).alias("d"), "id"))), 1, k).alias("_t"))
+    return top.select("query", F.posexplode("_t").alias("_p", "_x")).select("query", F.col("_x.id").alias("id"), F.col("_x.d").alias("distance"), (F.col("_p") + 1).alias("rank"))
+
+
+def within(all_points: DataFrame, queries: DataFrame, radius: float, metric="euclidean") -> DataFrame:
+    """(query, id, distance): all other points within the radius of each query point."""
+
+    def near(qid: np.ndarray, pid: np.ndarray, d: np.ndarray) -> pd.DataFrame:
+        i, j = np.nonzero(d <= radius)
+        return pd.DataFrame({"query": qid[i], "id": pid[j], "distance": d[i, j]})
+
+    return _met(all_points, queries, near, "query long, id long, distance double", metric)
+
+
+def counts_within(all_points: DataFrame, queries: DataFrame, radii: list[float], metric="euclidean") -> DataFrame:
+    """(query, radius, n): number of other points within each radius; only counts leave a partition."""
+
+    def count(qid: np.ndarray, pid: np.ndarray, d: np.ndarray) -> pd.DataFrame:
+        return pd.DataFrame({"query": np.tile(qid, len(radii)), "radius": np.repeat(radii, len(qid)), "n": np.concatenate([(d <= r).sum(axis=1) for r in radii])})
+
+    return _met(all_points, queries, count, "query long, radius double, n long", metric).groupBy("query", "radius").agg(F.sum("n").alias("n"))
+
+
+def correlation_dimension(all_points: DataFrame, queries: DataFrame, low: float, high: float) -> DataFrame:
+    """(near, far, dimension): pairs within two radii, and the slope of the logarithm of their number."""
+    n = counts_within(all_points, queries, [low, high]).groupBy("radius").agg(F.sum("n").alias("n"))
+    both = n.agg(F.max(F.when(F.col("radius") == low, F.col("n"))).alias("near"), F.max(F.when(F.col("radius") == high, F.col("n"))).alias("far"))
+    return both.select("near", "far", F.when(F.col("near") > 0, F.ln(F.col("far") / F.col("near")) / float(np.log(high / low))).alias("dimension"))
+
+
+def stress(high: DataFrame, low: DataFrame, queries: DataFrame) -> DataFrame:
+    """(n, stress): root of the squared differences of distances in the two spaces over the squared
+    distances in the first, over the pairs of queries (column id) and all points."""
+    both = high.select("id", F.col("features").alias("_h")).join(low.select("id", F.col("features").alias("_l")), "id").select("id", F.concat("_h", "_l").alias("features"), F.size("_h").alias("_d"))
+    first = both.select("_d").first()
+    d = first["_d"] if first is not None else 0
+    f = _distance("euclidean")
+
+    def pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Both distances of a pair in one complex number."""
+        return f(a[:, :d], b[:, :d]) + 1j * f(a[:, d:], b[:, d:])
+
+    out = None
+    for ids, vectors in _blocks(both.join(queries.select("id"), "id", "left_semi").select("id", "features")):
+        held = both.sparkSession.sparkContext.broadcast((ids, vectors))
+
+        def scan(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
+            qid, q = held.value
+            for pdf in batches:
+                z = pair(q, np.array(pdf["features"].tolist(), float).reshape(len(pdf), -1))
+                z[qid[:, None] == pdf["id"].to_numpy()[None, :]] = 0
+                yield pd.DataFrame({"n": [int((qid[:, None] != pdf["id"].to_numpy()[None, :]).sum())], "off": [float(((z.real - z.imag) ** 2).sum())], "all": [float((z.real**2).sum())]})
+
+        part = both.select("id", "features").mapInPandas(scan, "n long, off double, all double")
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        return both.sparkSession.createDataFrame([], "n long, stress double")
+    return out.agg(F.sum("n").alias("n"), F.sqrt(F.try_divide(F.sum("off"), F.sum("all"))).alias("stress"))
+
+
 def symmetrised(knn: DataFrame, how: str = "intersection") -> DataFrame:
     """(a, b, distance): edges a < b that both ends have (intersection) or either has (union)."""
     e = knn.groupBy(F.least("query", "id").alias("a"), F.greatest("query", "id").alias("b")).agg(F.count("*").alias("_n"), F.min("distance").alias("distance"))
@@ -168,29 +276,39 @@ def two_nn_dimension(knn: DataFrame) -> DataFrame:
     return ok.agg(F.count("*").alias("n"), F.try_divide(F.count("*"), F.sum(F.ln(F.col("b") / F.col("a")))).alias("dimension"))
 
 
-def patterns(df: DataFrame, label: str, vector: str) -> DataFrame:
-    """(label, i, v): mean of each feature per label."""
-    return df.select(F.col(label).alias("label"), F.posexplode(F.col(vector).cast("array<double>")).alias("i", "x")).groupBy("label", "i").agg(F.avg("x").alias("v"))
+def patterns(df: DataFrame, label: str, vector: str, how: str = "mean") -> DataFrame:
+    """(label, i, v): mean or median of each feature per label."""
+    value = {"mean": F.avg, "median": lambda c: F.percentile(c, 0.5)}[how]("x")
+    return df.select(F.col(label).alias("label"), F.posexplode(F.col(vector).cast("array<double>")).alias("i", "x")).groupBy("label", "i").agg(value.alias("v"))
 
 
-def rdm(pattern: DataFrame) -> DataFrame:
-    """(label_a, label_b, dissimilarity): 1 - correlation of the labels' mean patterns, a < b."""
+#: Dissimilarities of two patterns x and y, as aggregates over their features.
+DISSIMILARITIES = {
+    "correlation": lambda x, y: 1 - F.corr(x, y),
+    "euclidean": lambda x, y: F.sqrt(F.sum((x - y) * (x - y))),
+    "manhattan": lambda x, y: F.sum(F.abs(x - y)),
+    "cosine": lambda x, y: 1 - F.try_divide(F.sum(x * y), F.sqrt(F.sum(x * x)) * F.sqrt(F.sum(y * y))),
+}
+
+
+def rdm(pattern: DataFrame, metric: str = "correlation") -> DataFrame:
+    """(label_a, label_b, dissimilarity) of the labels' patterns, a < b."""
     a, b = pattern.select(F.col("label").alias("label_a"), "i", F.col("v").alias("x")), pattern.select(F.col("label").alias("label_b"), "i", F.col("v").alias("y"))
     j = a.join(b, "i").filter("label_a < label_b")
-    return j.groupBy("label_a", "label_b").agg((1 - F.corr("x", "y")).alias("dissimilarity"))
+    return j.groupBy("label_a", "label_b").agg(DISSIMILARITIES[metric](F.col("x"), F.col("y")).alias("dissimilarity"))
 
 
 def compare_rdms(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Pearson, Spearman (mean ranks for ties) and cosine of two RDMs over the label pairs of both.
-    An RDM has as many rows as pairs of labels."""
-
-
+    """Pearson, Spearman (mean ranks for ties) and cosine of two RDMs over the label pairs of both,
+    each pair with the labels of its own matrix. Ranks come from the distributed order."""
     j = a.select("label_a", "label_b", F.col("dissimilarity").alias("x")).join(b.select("label_a", "label_b", F.col("dissimilarity").alias("y")), ["label_a", "label_b"])
 
-    def mean_rank(c: str) -> Column:
-        return F.rank().over(Window.orderBy(c)) + (F.count("*").over(Window.partitionBy(c)) - 1) / 2
+    def mean_rank(df: DataFrame, c: str) -> DataFrame:
+        placed = global_rank(df, [], [c, "label_a", "label_b"], "_p")
+        mid = placed.groupBy(c).agg(F.avg("_p").alias(f"_r{c}"))
+        return placed.drop("_p").join(mid, c)
 
-    r = j.withColumn("_rx", mean_rank("x")).withColumn("_ry", mean_rank("y"))
+    r = mean_rank(mean_rank(j, "x"), "y")
     return r.agg(
         F.corr("x", "y").alias("pearson"), F.corr("_rx", "_ry").alias("spearman"), F.try_divide(F.sum(F.col("x") * F.col("y")), F.sqrt(F.sum(F.col("x") * F.col("x"))) * F.sqrt(F.sum(F.col("y") * F.col("y")))).alias("cosine")
     )

@@ -98,7 +98,8 @@ def recurrences(df: DataFrame, eps: float, theiler: int = 1) -> DataFrame:
 
 def line_measures(rec: DataFrame, least: int = 2) -> DataFrame:
     """Per key, of the upper triangle: share of points on diagonal lines of at least `least` (det),
-    their mean and greatest length, divergence and the entropy (natural) of their lengths."""
+    their mean and greatest length, divergence and the entropy (natural) of their lengths; of both
+    triangles: share of points on vertical lines (laminarity) and their mean length (trapping)."""
     diag = rec.select(F.struct("key", (F.col("j") - F.col("i")).alias("d")).alias("key"), F.col("i").alias("t"))
     lines = islands(diag).select("key.key", (F.col("end") - F.col("start")).alias("len"))
     points = rec.groupBy("key").agg(F.count("*").alias("points"))
@@ -106,10 +107,15 @@ def line_measures(rec: DataFrame, least: int = 2) -> DataFrame:
     agg = n.groupBy("key").agg(
         F.sum(F.col("k") * F.col("len")).alias("_on"), F.sum("k").alias("_k"), F.max("len").alias("l_max"), (F.ln(F.sum("k")) - F.sum(F.col("k") * F.ln("k")) / F.sum("k")).alias("entropy")
     )
-    out = points.join(agg, "key", "left")
+    both = rec.unionByName(rec.select("key", F.col("j").alias("i"), F.col("i").alias("j")))
+    vertical = islands(both.select(F.struct("key", F.col("i").alias("d")).alias("key"), F.col("j").alias("t"))).select("key.key", (F.col("end") - F.col("start")).alias("len"))
+    on = F.when(F.col("len") >= least, F.col("len"))
+    trapped = vertical.groupBy("key").agg((F.sum(on) / F.sum("len")).alias("_lam"), F.avg(on).alias("_tt"))
+    out = points.join(agg, "key", "left").join(trapped, "key", "left")
     return out.select(
         "key", "points", F.coalesce(F.col("_on") / F.col("points"), F.lit(0.0)).alias("det"), F.coalesce(F.col("_on") / F.col("_k"), F.lit(0.0)).alias("l_mean"),
         F.coalesce("l_max", F.lit(0)).alias("l_max"), F.coalesce(F.try_divide(F.lit(1.0), F.col("l_max")), F.lit(0.0)).alias("divergence"), F.coalesce("entropy", F.lit(0.0)).alias("entropy"),
+        F.coalesce("_lam", F.lit(0.0)).alias("laminarity"), F.coalesce("_tt", F.lit(0.0)).alias("trapping"),
     )
 
 

@@ -56,10 +56,10 @@ def islands(places: DataFrame, least: int = 1, merge: int = 0) -> DataFrame:
 
 
 def threshold_events(df: DataFrame, n_mad: float = 4.0, least: int = 3, merge: int = 2) -> DataFrame:
-    """Events of min-max scaled signals: values strictly above median + n_mad * 1.4826 * MAD for at
-    least `least` frames, joined over gaps of up to `merge` frames."""
-    scaled = minmax(df)
-    high = scaled.join(robust_scale(scaled), "key").filter(F.col("value") > F.col("median") + n_mad * 1.4826 * F.col("mad"))
+    """Events of signals: values strictly above median + n_mad * 1.4826 * MAD for at least `least`
+    frames, joined over gaps of up to `merge` frames. The rule is the same for the signal scaled to
+    0..1, so it is not scaled."""
+    high = df.join(robust_scale(df), "key").filter(F.col("value") > F.col("median") + n_mad * 1.4826 * F.col("mad"))
     return islands(high, least, merge)
 
 

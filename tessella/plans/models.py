@@ -14,7 +14,7 @@ from tessella.operators import typing as Y
 from tessella.operators.ordering import global_rank
 from tessella.plans import signals
 from tessella.plans.series import HOURLY, hourly
-from tessella.session import read
+from tessella.session import cut, read
 
 
 def _r(df, *names, nd=6):
@@ -80,7 +80,7 @@ def rdm_trials(spark, d):
 def interpolated_frames(spark, d):
     import numpy as np
 
-    s = G.clean(read(spark, d, "signals").filter(F.abs("calcium") < 9000), "unit_id", "t", "calcium")
+    s = cut(G.clean(read(spark, d, "signals"), "unit_id", "t", "calcium"))
     ends = s.groupBy("key").agg(F.min("t").alias("a"), F.max("t").alias("b"))
     spine = ends.select("key", F.explode(F.sequence("a", "b")).alias("t")).join(s, ["key", "t"], "left").withColumn("value", F.coalesce("value", F.lit(float("nan"))))
     filled = G.with_margin(spine, lambda t, v: np.interp(t, t[~np.isnan(v)], v[~np.isnan(v)]), 64)
@@ -89,7 +89,7 @@ def interpolated_frames(spark, d):
 
 
 def decay_constants(spark, d):
-    s = G.clean(read(spark, d, "signals").filter(F.abs("calcium") < 9000), "unit_id", "t", "calcium")
+    s = cut(G.clean(read(spark, d, "signals"), "unit_id", "t", "calcium"))
     return _r(K.decay_constants(s, G.threshold_events(s), 20.0), "tau", "r2").withColumnRenamed("key", "unit_id")
 
 

@@ -8,7 +8,7 @@ from tessella.operators import recurrence as Q
 from tessella.operators import signal as G
 from tessella.operators import wavelet as W
 from tessella.plans.series import HOURLY, hourly
-from tessella.session import read
+from tessella.session import cut, read
 
 
 def _rows(spark, d):
@@ -16,7 +16,7 @@ def _rows(spark, d):
 
 
 def _units(spark, d):
-    return G.clean(read(spark, d, "signals").filter(F.abs("calcium") < 9000), "unit_id", "t", "calcium")
+    return cut(G.clean(read(spark, d, "signals"), "unit_id", "t", "calcium"))
 
 
 def _out(df, *names, nd=6):
@@ -107,7 +107,7 @@ def recurrence_edges(spark, d):
 
 
 def rqa_lines(spark, d):
-    return _out(Q.line_measures(Q.recurrences(_counts(spark, d), 0.5, 1)), "det", "l_mean", "divergence", "entropy")
+    return _out(Q.line_measures(Q.recurrences(_counts(spark, d), 0.5, 1)), "det", "l_mean", "divergence", "entropy", "laminarity", "trapping")
 
 
 def population_joint_graph(spark, d):
@@ -150,12 +150,10 @@ def queries():
     return {f.__name__: f for f in _NAMES}
 
 
-_UNITS = "units AS (SELECT unit_id, t, max(calcium) AS v FROM signals WHERE calcium IS NOT NULL AND NOT isnan(calcium) AND abs(calcium) < 9000 GROUP BY ALL)"
+_UNITS = "units AS (SELECT unit_id, t, max(calcium) AS v FROM signals WHERE calcium IS NOT NULL AND NOT isnan(calcium) AND NOT isinf(calcium) GROUP BY ALL)"
 _EVENTS = f"""{_UNITS},
-ends AS (SELECT unit_id, min(v) AS lo, max(v) AS hi FROM units GROUP BY unit_id),
-scaled AS (SELECT unit_id, t, (v - lo) / (hi - lo) AS x FROM units JOIN ends USING (unit_id)),
-rob AS (SELECT unit_id, median(x) AS m, mad(x) AS s FROM scaled GROUP BY unit_id),
-high AS (SELECT unit_id, t, t - row_number() OVER (PARTITION BY unit_id ORDER BY t) AS g FROM scaled JOIN rob USING (unit_id) WHERE x > m + 4 * 1.4826 * s),
+rob AS (SELECT unit_id, median(v) AS m, mad(v) AS s FROM units GROUP BY unit_id),
+high AS (SELECT unit_id, t, t - row_number() OVER (PARTITION BY unit_id ORDER BY t) AS g FROM (SELECT unit_id, t, v AS x FROM units) JOIN rob USING (unit_id) WHERE x > m + 4 * 1.4826 * s),
 isl AS (SELECT unit_id, min(t) AS a, max(t) + 1 AS b FROM high GROUP BY unit_id, g HAVING count(*) >= 3),
 gaps AS (SELECT *, CASE WHEN a - lag(b) OVER (PARTITION BY unit_id ORDER BY a) <= 2 THEN 0 ELSE 1 END AS o FROM isl),
 ids AS (SELECT *, sum(o) OVER (PARTITION BY unit_id ORDER BY a) AS id FROM gaps),
@@ -201,7 +199,7 @@ def oracle_sql():
         "hvg_edges": f"WITH {_HVG} SELECT * FROM edges",
         "nvg_edges": f"WITH {HOURLY}, pts AS (SELECT series, t, value AS v FROM hourly), s AS (SELECT x.series, x.t AS a, y.t AS b, (y.v - x.v) / (y.t - x.t) AS slope FROM pts x JOIN pts y ON x.series = y.series AND x.t < y.t), r AS (SELECT *, max(slope) OVER (PARTITION BY series, a ORDER BY b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM s) SELECT series, a, b FROM r WHERE best IS NULL OR slope > best",
         "recurrence_edges": f"WITH {_REC.format(theiler=2)} SELECT series, count(*) AS edges, CAST(sum(j - i) AS BIGINT) AS distance FROM rec GROUP BY series",
-        "rqa_lines": f"WITH {_REC.format(theiler=1)}, g AS (SELECT series, j - i AS d, i - row_number() OVER (PARTITION BY series, j - i ORDER BY i) AS g FROM rec), l AS (SELECT series, count(*) AS len FROM g GROUP BY series, d, g), p AS (SELECT series, count(*) AS points FROM rec GROUP BY series), k AS (SELECT series, len, count(*) AS k, count(*) / sum(count(*)) OVER (PARTITION BY series) AS q FROM l WHERE len >= 2 GROUP BY series, len) SELECT series, points, round(sum(k * len) / points, 6) AS det, round(sum(k * len) / sum(k), 6) AS l_mean, max(len) AS l_max, round(1.0 / max(len), 6) AS divergence, round(-sum(q * ln(q)), 6) AS entropy FROM k JOIN p USING (series) GROUP BY series, points",
+        "rqa_lines": f"WITH {_REC.format(theiler=1)}, g AS (SELECT series, j - i AS d, i - row_number() OVER (PARTITION BY series, j - i ORDER BY i) AS g FROM rec), l AS (SELECT series, count(*) AS len FROM g GROUP BY series, d, g), p AS (SELECT series, count(*) AS points FROM rec GROUP BY series), k AS (SELECT series, len, count(*) AS k, count(*) / sum(count(*)) OVER (PARTITION BY series) AS q FROM l WHERE len >= 2 GROUP BY series, len), vg AS (SELECT series, i, j - row_number() OVER (PARTITION BY series, i ORDER BY j) AS g FROM (SELECT series, i, j FROM rec UNION ALL SELECT series, j, i FROM rec)), v AS (SELECT series, count(*) AS len FROM vg GROUP BY series, i, g), lam AS (SELECT series, sum(len) FILTER (WHERE len >= 2) AS onv, sum(len) AS allv, count(*) FILTER (WHERE len >= 2) AS nv FROM v GROUP BY series) SELECT k.series, points, round(sum(k * len) / points, 6) AS det, round(sum(k * len) / sum(k), 6) AS l_mean, max(len) AS l_max, round(1.0 / max(len), 6) AS divergence, round(-sum(q * ln(q)), 6) AS entropy, round(any_value(onv / allv), 6) AS laminarity, round(any_value(onv / nv), 6) AS trapping FROM k JOIN p USING (series) JOIN lam USING (series) GROUP BY k.series, points",
         "population_joint_graph": f"WITH {_HVG} SELECT a, b, count(DISTINCT series) AS n FROM edges GROUP BY a, b HAVING count(DISTINCT series) >= 0.8 * (SELECT count(DISTINCT series) FROM edges)",
         "graph_jaccard": f"WITH {_HVG}, z AS (SELECT series, count(*) AS n FROM edges GROUP BY series), c AS (SELECT x.series AS key_a, y.series AS key_b, count(*) AS c FROM edges x JOIN edges y ON x.a = y.a AND x.b = y.b AND x.series < y.series GROUP BY ALL) SELECT key_a, key_b, round(c / (p.n + q.n - c), 6) AS jaccard FROM c JOIN z p ON p.series = key_a JOIN z q ON q.series = key_b",
         "occupancy_map": f"WITH {_MAP} SELECT bin_x, bin_y, n, round(rate, 6) AS rate FROM map",
