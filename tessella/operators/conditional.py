@@ -104,3 +104,20 @@ def class_given_class(df: DataFrame, keys: Sequence[str], x: str, y: str, z: str
     a, b = within(z), within(y, z).withColumnsRenamed({"_w": "_w2", "_m": "_m2"})
     both = a.join(b, list(keys)) if keys else a.crossJoin(b)  # without keys one row each
     return both.select(*keys, F.greatest(F.lit(0.0), (F.col("_w") / F.col("_m") - F.col("_w2") / F.col("_m2")) / LN2).alias("cmi"))
+
+
+def correlations_of_many(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """(n, tc, dtc, o_information) of three or more normal variables, without corrections, in bits:
+    what they have in common at all, what each adds to the others, and the difference, above 0 where
+    redundancy prevails."""
+    if len(names) < 3:
+        raise ValueError("at least three variables")
+    m = df.dropna(subset=[*names]).agg(*_moments(names))
+    h = lambda of: 0.5 * F.log2(_det(of, names))
+    every = h(list(names))
+    tc = -every
+    dtc = every
+    for x in names:
+        tc = tc + h([x])
+        dtc = dtc - (every - h([y for y in names if y != x]))
+    return m.select(F.col("_n").cast("long").alias("n"), tc.alias("tc"), dtc.alias("dtc"), (tc - dtc).alias("o_information"))

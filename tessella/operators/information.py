@@ -103,6 +103,17 @@ def pair_correlations(df: DataFrame, key: str, on: str, value: str) -> DataFrame
     return rows.mapInPandas(add, "i long, sums array<double>").groupBy("i").applyInPandas(finish, schema)
 
 
+def cross_correlations(a: DataFrame, b: DataFrame, key: str, on: str, value: str) -> DataFrame:
+    """(key_a, key_b, r) for every series of one table and every one of the other, over the places that
+    both have. Series of the two are told apart by their side, then all are taken at once."""
+    side = lambda df, s: df.select(F.struct(F.lit(s).alias("side"), F.col(key).alias("key")).alias("_k"), on, F.col(value).cast("double").alias(value))
+    both = side(a, 0).unionByName(side(b, 1)).withColumn("_k", F.to_json("_k"))
+    p = pair_correlations(both, "_k", on, value)
+    at = lambda c: F.from_json(c, T.StructType([T.StructField("side", T.IntegerType()), T.StructField("key", a.schema[key].dataType)]))
+    x = p.select(at("key_a").alias("_a"), at("key_b").alias("_b"), "r").filter("_a.side <> _b.side")
+    return x.select(F.when(F.col("_a.side") == 0, F.col("_a.key")).otherwise(F.col("_b.key")).alias("key_a"), F.when(F.col("_a.side") == 0, F.col("_b.key")).otherwise(F.col("_a.key")).alias("key_b"), "r")
+
+
 def gaussian_bias(n: Column) -> Column:
     """What estimating the moments from n values adds to Gaussian information, in bits."""
     return (digamma((n - 2) / 2) - digamma((n - 1) / 2)) / (2 * LN2)

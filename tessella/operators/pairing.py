@@ -166,7 +166,8 @@ def pairs_by_blocks(units: DataFrame, features: DataFrame, run: Callable[[Mappin
     gets two mappings from key to Series and gives the rows of their pairs."""
     count = lambda df: max(1, -(-df.count() // BLOCK))
     n_u, n_f = count(units), count(features)
-    left, right = _dealt(units, "_u", "_f", n_u, n_f), _dealt(features, "_f", "_u", n_f, n_u)
+    # the right side under names of its own, as both may be one table
+    left, right = _dealt(units, "_u", "_f", n_u, n_f), _dealt(features.toDF(*features.columns), "_f", "_u", n_f, n_u)
     schema = T.StructType([T.StructField("unit", units.schema["key"].dataType), T.StructField("feature", features.schema["key"].dataType), *fields])
 
     def block(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:

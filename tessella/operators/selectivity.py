@@ -1,7 +1,6 @@
-"""Pairs of series at all circular shifts, and the two-stage test of their dependence.
+"""Ranks, tails and thresholds of tests against shifted series, and triples of series.
 
-A positive shift rolls the second series: value t meets value t - shift. All shifts of a pair come
-from one FFT in an Arrow UDF; a series is one array, as long as its session.
+Shifts come from the blocks of pairs in pairing.
 """
 
 from __future__ import annotations
@@ -15,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessella.functions.special import fit_gamma, gamma_sf, normal_sf
-from tessella.operators.information import gaussian_mi
+from tessella.operators.information import correlation_table, gaussian_mi
 from tessella.operators.ordering import global_rank
 
 
@@ -24,31 +23,6 @@ def as_arrays(df: DataFrame, key: str, on: str, value: str) -> DataFrame:
     return df.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct(on, value))), lambda x: x[value]).alias("values")).withColumn("n", F.size("values"))
 
 
-@F.pandas_udf(T.ArrayType(T.DoubleType()))
-def shifted_correlations(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Pearson correlation of a with b rolled by 0, 1, ..., n - 1."""
-
-    def one(x, y):
-        x, y = np.asarray(x, float), np.asarray(y, float)
-        if len(x) != len(y) or len(x) < 3:
-            return None
-        x, y = x - x.mean(), y - y.mean()
-        size = np.sqrt((x @ x) * (y @ y))
-        if size == 0:
-            return None
-        return np.fft.irfft(np.fft.rfft(x) * np.conj(np.fft.rfft(y)), len(x)) / size
-
-    return pd.Series([one(x, y) for x, y in zip(a, b)])
-
-
-def all_shifts(scores: DataFrame, key: str, on: str, value: str = "z") -> DataFrame:
-    """(key_a, key_b, n, r): r[s] for each shift s of every pair a < b."""
-    s = as_arrays(scores, key, on, value)
-    a = s.select(F.col(key).alias("key_a"), F.col("values").alias("_x"), "n")
-    b = s.select(F.col(key).alias("key_b"), F.col("values").alias("_y"), "n")
-    return a.join(b, "n").filter(F.col("key_a") < F.col("key_b")).select("key_a", "key_b", "n", shifted_correlations("_x", "_y").alias("r")).filter("r is not null")
-
-
 def best_shift(shifts: DataFrame, window: int) -> DataFrame:
     """(key_a, key_b, shift, mi): first shift of greatest information within -window..window."""
     each = shifts.withColumn("shift", F.explode(F.sequence(F.lit(-window), F.lit(window))))
@@ -127,26 +101,14 @@ def thresholds(df: DataFrame, p: str, alpha: float, ties: Sequence[str], method:
     return df.crossJoin(F.broadcast(limit))
 
 
-def two_stage(scores: DataFrame, key: str, on: str, value: str = "z", first: int = 100, second: int = 1000, alpha: float = 0.05, method: str = "holm", kind: str = "gamma_zi", top: int = 5) -> DataFrame:
-    """Every pair with its outcome: stage 1 keeps pairs that beat all of `first` shuffles; stage 2
-    fits the tail to `second` shuffles of those and compares with the corrected threshold."""
-    shifts = all_shifts(scores, key, on, value)
-    one = rank_test(shifts, first)
-    survivors = one.filter("passed").select("key_a", "key_b")
-    two = p_values(rank_test(shifts.join(survivors, ["key_a", "key_b"], "left_semi"), second, top, seed=11), kind)
-    two = thresholds(two, "pval", alpha, ["key_a", "key_b"], method)
-    two = two.select("key_a", "key_b", "pval", "p_threshold", (F.col("passed") & (F.col("pval") < F.col("p_threshold"))).alias("significant"))
-    return one.select("key_a", "key_b", "mi", F.col("rank").alias("pre_rank"), F.col("passed").alias("stage1")).join(two, ["key_a", "key_b"], "left").withColumn("significant", F.coalesce("significant", F.lit(False)))
-
-
 def feature_pairs(scores: DataFrame, key: str, on: str, value: str) -> DataFrame:
     """(unit, f1, f2, mi_1, mi_2, cmi_1, cmi_2): for each series as a unit and any two others as its
     features, the Gaussian information of either feature, alone and given the other, in bits."""
-    x = scores.select(F.col(key).alias("unit"), F.col(on).alias("_t"), F.col(value).alias("_x"))
-    a = scores.select(F.col(key).alias("f1"), F.col(on).alias("_t"), F.col(value).alias("_a"))
-    b = scores.select(F.col(key).alias("f2"), F.col(on).alias("_t"), F.col(value).alias("_b"))
-    j = x.join(a, "_t").join(b, "_t").filter((F.col("f1") < F.col("f2")) & (F.col("unit") != F.col("f1")) & (F.col("unit") != F.col("f2")))
-    c = j.groupBy("unit", "f1", "f2").agg(F.corr("_x", "_a").alias("p"), F.corr("_x", "_b").alias("q"), F.corr("_a", "_b").alias("r"))
+    # all correlations at once, from sums of products; triples are then joined without places
+    r = correlation_table(scores, key, on, value).filter(F.col("key_a") != F.col("key_b"))
+    x = r.select(F.col("key_a").alias("unit"), F.col("key_b").alias("f1"), F.col("r").alias("p"))
+    y = r.select(F.col("key_a").alias("unit"), F.col("key_b").alias("f2"), F.col("r").alias("q"))
+    c = x.join(y, "unit").filter("f1 < f2").join(r.select(F.col("key_a").alias("f1"), F.col("key_b").alias("f2"), "r"), ["f1", "f2"])
     p, q, r = F.col("p"), F.col("q"), F.col("r")
     bits = lambda k: -0.5 * F.log2(1 - k * k)
     given = lambda u, v: F.try_divide(u - v * r, F.sqrt((1 - v * v) * (1 - r * r)))

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.plans import crossession, decisions, geometry, models, selective, signals, stats, streams, tables, training
+from tessella.plans import crossession, decisions, geometry, models, selective, shapes, signals, stats, streams, tables, training
 
-_PARTS = [training, crossession, stats, signals, geometry, streams, models, decisions, selective, tables]
-FLAGSHIP = training.p2_wide
+_PARTS = [training, crossession, stats, signals, geometry, streams, models, decisions, selective, tables, shapes]
+FLAGSHIP = selective.unit_feature_significance
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -6,11 +6,13 @@ from pyspark.sql import functions as F
 
 from tessella.functions.special import digamma_sql, ppf_sql
 from tessella.operators import information as I
+from tessella.operators import pairing as P
 from tessella.operators import selectivity as S
 from tessella.plans.series import HOURLY, hourly
 from tessella.session import read
 
 ND = 6
+TWO_STAGE = P.Plan(first=100, second=500, tail="norm")
 
 
 def _r(df, *names):
@@ -69,21 +71,31 @@ def on_off_ratio(spark, d):
     return _r(I.signal_ratio(hourly(spark, d).withColumn("busy", (F.col("t") % 24).between(8, 19)), ["series"], "value", "busy"), "mean_on", "mean_off", "ratio")
 
 
+def _shifts(spark, d):
+    """(key_a, key_b, n, r): correlations of every two series at every shift."""
+    u = P.tagged(_scores(spark, d), F.col("series"), F.col("t"), F.col("z"), "continuous")
+    return P.at_all_shifts(u, u, "pearson", same=True).select(F.col("unit").alias("key_a"), F.col("feature").alias("key_b"), "n", F.col("values").alias("r"))
+
+
 def mi_all_shifts(spark, d):
-    s = S.all_shifts(_scores(spark, d), "series", "t").select("key_a", "key_b", "n", F.posexplode("r").alias("shift", "r"))
+    s = _shifts(spark, d).select("key_a", "key_b", "n", F.posexplode("r").alias("shift", "r"))
     return s.select("key_a", "key_b", "shift", F.round(I.gaussian_mi(F.col("r"), F.col("n")), ND).alias("mi"))
 
 
 def mi_best_shift(spark, d):
-    return _r(S.best_shift(S.all_shifts(_scores(spark, d), "series", "t"), 48), "mi")
+    return _r(S.best_shift(_shifts(spark, d), 48), "mi")
 
 
 def stage1_rank(spark, d):
-    return _r(S.rank_test(S.all_shifts(_scores(spark, d), "series", "t"), 100).select("key_a", "key_b", "mi", "rank", "passed"), "mi", "rank")
+    return _r(S.rank_test(_shifts(spark, d), 100).select("key_a", "key_b", "mi", "rank", "passed"), "mi", "rank")
 
 
 def significance_two_stage(spark, d):
-    return S.two_stage(_scores(spark, d), "series", "t")
+    """Every two series, tested with the tail of a normal distribution; a zero-inflated gamma one is
+    the default of the operator."""
+    u = P.tagged(_scores(spark, d), F.col("series"), F.col("t"), F.col("z"), "continuous")
+    r = P.significance(u, u, TWO_STAGE, same=True)
+    return r.select(F.col("unit").alias("key_a"), F.col("feature").alias("key_b"), F.round("mi", ND).alias("mi"), F.round("pre_rank", ND).alias("pre_rank"), "stage1", F.round("pval", 8).alias("pval"), F.round("p_threshold", 9).alias("p_threshold"), "significant")
 
 
 def _pvals(spark, d):
@@ -131,6 +143,27 @@ rolled AS (SELECT a.series AS key_a, b.series AS key_b, shift, corr(a.z, b.z) AS
 mis AS (SELECT key_a, key_b, shift, n, greatest(0, -0.5 * log2(1 - r * r) + {_BIAS}) AS mi FROM rolled)"""
 
 
+def normal_sf_sql(z: str, steps: int = 4000) -> str:
+    """Upper tail of the normal distribution, by Simpson's rule over the next twelve deviations."""
+    return f"list_sum(list_transform(range(0, {steps + 1}), lambda i: (CASE WHEN i = 0 OR i = {steps} THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * exp(-power({z} + i * {12 / steps!r}, 2) / 2))) * {12 / steps / 3!r} / sqrt(2 * pi())"
+
+
+def _two_stage_sql() -> str:
+    t = TWO_STAGE
+    null = lambda k, seed: f"SELECT key_a, key_b, round(m.mi, 9) AS mi FROM mis m JOIN (SELECT unnest(range(1, {k + 1})) AS i) ON m.shift = (i * 7919 + i * i * 104729 + {seed}) % m.n"
+    return f"""WITH {_SHIFTS}, o AS (SELECT key_a, key_b, round(mi, 9) AS mi FROM mis WHERE shift = 0),
+one AS ({null(t.first, 7)}), two AS ({null(t.second, 11)}),
+st AS (SELECT o.*, (count(*) FILTER (WHERE one.mi < o.mi) + 1) / {t.first + 1} AS pre_rank FROM o JOIN one USING (key_a, key_b) GROUP BY ALL),
+stay AS (SELECT * FROM st WHERE pre_rank > 1 - {t.top} / {t.first + 1}),
+pv AS (SELECT stay.key_a, stay.key_b, (count(*) FILTER (WHERE two.mi < stay.mi) + 1) / {t.second + 1} AS rank, (any_value(stay.mi) - avg(two.mi)) / stddev_pop(two.mi) AS zs FROM stay JOIN two USING (key_a, key_b) GROUP BY ALL),
+p AS (SELECT key_a, key_b, rank, {normal_sf_sql('zs')} AS pval FROM pv),
+r AS (SELECT *, row_number() OVER (ORDER BY pval, key_a, key_b) - 1 AS i, count(*) OVER () AS c FROM p),
+f AS (SELECT coalesce(min(i) FILTER (WHERE pval > {t.alpha} / (c - i)), max(c)) AS f, max(c) AS c FROM r),
+thr AS (SELECT {t.alpha} / least(c - f + 1, c) AS thr FROM f)
+SELECT st.key_a, st.key_b, round(mi, 6) AS mi, round(pre_rank, 6) AS pre_rank, pre_rank > 1 - {t.top} / {t.first + 1} AS stage1, round(pval, 8) AS pval, round(CASE WHEN pval IS NOT NULL THEN thr END, 9) AS p_threshold,
+  coalesce(rank > 1 - {t.top2} / {t.second + 1} AND pval < thr, false) AS significant FROM st LEFT JOIN p USING (key_a, key_b) LEFT JOIN thr ON true"""
+
+
 def oracle_sql():
     li = "lineitem"
     both = "(SELECT l_quantity > 25 AS a, l_discount > 0.05 AS b FROM lineitem)"
@@ -162,6 +195,7 @@ def oracle_sql():
         "mi_all_shifts": f"WITH {_SHIFTS} SELECT key_a, key_b, CAST(shift AS INT) AS shift, round(mi, 6) AS mi FROM mis",
         "mi_best_shift": f"WITH {_SHIFTS}, w AS (SELECT key_a, key_b, CASE WHEN shift > n / 2 THEN shift - n ELSE shift END AS s, round(mi, 9) AS mi FROM mis) SELECT key_a, key_b, CAST(s AS INT) AS shift, round(mi, 6) AS mi FROM w WHERE s BETWEEN -48 AND 48 QUALIFY row_number() OVER (PARTITION BY key_a, key_b ORDER BY w.mi DESC, s) = 1",
         "stage1_rank": f"WITH {_SHIFTS}, k AS (SELECT unnest(range(1, 101)) AS i), null_mi AS (SELECT m.key_a, m.key_b, m.mi FROM k, mis m WHERE m.shift = (i * 7919 + i * i * 104729 + 7) % m.n), o AS (SELECT key_a, key_b, mi FROM mis WHERE shift = 0), f AS (SELECT o.key_a, o.key_b, o.mi, (count(*) FILTER (WHERE round(x.mi, 9) < round(o.mi, 9)) + 1) / 101 AS rank FROM o JOIN null_mi x USING (key_a, key_b) GROUP BY ALL) SELECT key_a, key_b, round(mi, 6) AS mi, round(rank, 6) AS rank, rank > 1 - 1 / 101 AS passed FROM f",
+        "significance_two_stage": _two_stage_sql(),
         "holm_threshold": f"WITH {pv}, f AS (SELECT min(i) AS f FROM o WHERE p > 0.05 / (m - i)) SELECT mouse, feature, round(CASE WHEN coalesce(f.f, m) > 0 THEN 0.05 / (m - coalesce(f.f, m) + 1) ELSE 0.05 / m END, 9) AS p_threshold, p < CASE WHEN coalesce(f.f, m) > 0 THEN 0.05 / (m - coalesce(f.f, m) + 1) ELSE 0.05 / m END AS passes FROM o, f",
         "bh_threshold": f"WITH {pv}, f AS (SELECT coalesce(max(p), 0) AS f FROM o WHERE p <= 0.05 * (i + 1) / m) SELECT mouse, feature, round(f.f, 9) AS p_threshold, p < f.f AS passes FROM o, f",
         "bonferroni_threshold": f"WITH {pv} SELECT mouse, feature, round(0.05 / m, 9) AS p_threshold, p < 0.05 / m AS passes FROM o",

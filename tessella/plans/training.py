@@ -68,7 +68,11 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_profile(spark: SparkSession, d: str) -> DataFrame:
-    prof = profile.profile(read(spark, d, "batch_summary"), "load_id", rules=BATCH_RULES)
+    df = read(spark, d, "batch_summary")
+    prof = profile.profile(df, "load_id", rules=BATCH_RULES)
+    # numbers and times have their range as numbers; how they are written differs between engines
+    text = F.col("column_name").isin([c for c, k in df.dtypes if k == "string"])
+    prof = prof.withColumns({c: F.when(text, F.col(c)) for c in ("min_value", "max_value")})
     return prof.select(*[F.round(c, 6).alias(c) if c in ("missing_rate", "median", "median_all", "psi", "min_number", "max_number") else F.col(c) for c in prof.columns])
 
 
@@ -126,6 +130,43 @@ fits AS (SELECT *, (gap / wraps) / (walked / moves) AS fit FROM sums WHERE span
 units AS (SELECT series_id, code, p FROM fits WHERE fit <= 6 QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY greatest(fit, 1)) = 1)"""
 
 
+def _profile_sql() -> str:
+    """Every column by its kind: text and number of each cell, then counts, medians and the stability
+    index over the bins that any load has."""
+    def cell(name: str, kind: str) -> str:
+        if kind == "double":
+            v = f"CASE WHEN NOT isnan({name}) THEN {name} END"
+            return f"CAST({v} AS VARCHAR) AS txt, {v} AS num"
+        if kind == "long":
+            return f"CAST({name} AS VARCHAR) AS txt, CAST({name} AS DOUBLE) AS num"
+        if kind == "time":
+            return f"CAST({name} AS VARCHAR) AS txt, epoch_us({name}) / 1e6 AS num"
+        v = f"CASE WHEN lower(trim({name})) NOT IN ('', 'nan') THEN {name} END"
+        plain = rf"regexp_full_match({name}, '[+-]?(\d+(\.\d*)?|\.\d+)')"
+        return f"{v} AS txt, CASE WHEN {plain} THEN TRY_CAST({v} AS DOUBLE) END AS num"
+
+    kinds = {
+        "summary_id": "long", "exp_name": "text", "rig": "text", "n_cells": "long", "n_frames": "long", "fps": "double", "duration_sec": "text", "n_significant_cells": "long",
+        "pct_selective": "double", "total_sig_pairs": "long", "mi_mean": "double", "t_total": "double", "computed_at": "time", "loaded_at": "time",
+    }
+    cells = " UNION ALL ".join(f"SELECT load_id, '{c}' AS column_name, {cell(c, k)} FROM batch_summary" for c, k in kinds.items())
+    bad = "CASE column_name WHEN 'pct_selective' THEN num < 0 OR num > 100 WHEN 'n_cells' THEN num < 1 WHEN 'mi_mean' THEN num < 0 WHEN 'duration_sec' THEN num IS NULL OR num <= 0 ELSE false END OR (column_name IN ('pct_selective', 'n_cells', 'mi_mean', 'duration_sec') AND isinf(coalesce(num, 0)))"
+    shape = r"regexp_replace(regexp_replace(lower(txt), '\p{L}+', 'a', 'g'), '\d+', '9', 'g')"
+    smooth, text = profile.SMOOTH, ", ".join(f"'{c}'" for c, k in kinds.items() if k == "text")
+    return f"""WITH u AS ({cells}),
+dec AS (SELECT column_name, list_sort(list_distinct(quantile_cont(num, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]))) AS cuts, quantile_cont(num, 0.5) AS median_all FROM u WHERE num IS NOT NULL GROUP BY column_name),
+b AS (SELECT load_id, u.column_name, CASE WHEN num IS NOT NULL THEN CAST(len(list_filter(cuts, lambda c: c < num)) AS VARCHAR) ELSE {shape} END AS bin FROM u LEFT JOIN dec USING (column_name) WHERE txt IS NOT NULL),
+h AS (SELECT load_id, column_name, bin, count(*) AS n FROM b GROUP BY ALL),
+a AS (SELECT column_name, bin, sum(n) AS n_all FROM h GROUP BY ALL),
+k AS (SELECT column_name, count(*) AS k, sum(n_all) AS total FROM a GROUP BY column_name),
+l AS (SELECT load_id, column_name, sum(n) AS n_load FROM h GROUP BY ALL),
+g AS (SELECT l.load_id, a.column_name, (coalesce(h.n, 0) + {smooth}) / (n_load + {smooth} * k) AS p, (n_all + {smooth}) / (total + {smooth} * k) AS q FROM l JOIN a USING (column_name) JOIN k USING (column_name) LEFT JOIN h ON h.load_id = l.load_id AND h.column_name = a.column_name AND h.bin = a.bin),
+psi AS (SELECT load_id, column_name, sum((p - q) * ln(p / q)) AS psi FROM g GROUP BY ALL),
+s AS (SELECT load_id, column_name, count(*) AS n_rows, count(*) - count(txt) AS n_missing, count(DISTINCT txt) AS n_distinct, min(num) AS min_number, max(num) AS max_number, min(CASE WHEN column_name IN ({text}) THEN txt END) AS min_value, max(CASE WHEN column_name IN ({text}) THEN txt END) AS max_value, count(*) FILTER (WHERE txt IS NOT NULL AND coalesce({bad}, false)) AS n_violations, quantile_cont(num, 0.5) AS median FROM u GROUP BY ALL)
+SELECT load_id, column_name, n_rows, n_missing, round(n_missing / n_rows, 6) AS missing_rate, n_distinct, round(min_number, 6) AS min_number, round(max_number, 6) AS max_number, min_value, max_value, n_violations, round(median, 6) AS median, round(median_all, 6) AS median_all, round(psi, 6) AS psi
+FROM s LEFT JOIN dec USING (column_name) LEFT JOIN psi USING (load_id, column_name)"""
+
+
 def oracle_sql() -> dict[str, str]:
     metrics = {"pct_selective": "p > 100 OR p < 0", "n_cells": "p < 1", "mi_mean": "p < 0"}
     number = "CASE WHEN isnan(CAST({m} AS DOUBLE)) THEN NULL ELSE CAST({m} AS DOUBLE) END"
@@ -146,6 +187,7 @@ SELECT entity_id, attr_name, CASE WHEN unreadable THEN 'unreadable' ELSE 'confli
         "p2_wide": _wide_sql(),
         "p4_found": f"WITH {_UNITS} SELECT series_id, code AS unit_code FROM units WHERE code <> 'rad'",
         "p4_radians": f"WITH {_UNITS}, once AS (SELECT series_id, t, max(CASE WHEN NOT isnan(feat_value) THEN feat_value END) AS v FROM features GROUP BY ALL) SELECT series_id, t, code AS unit_code, round(v * 2 * pi() / p, 9) AS radians FROM once JOIN units USING (series_id)",
+        "p6_profile": _profile_sql(),
         "p6_found": f"""WITH u AS ({" UNION ALL ".join(parts)}),
 g AS (SELECT metric, quantile_cont(p, 0.5) AS med FROM u GROUP BY metric),
 s AS (SELECT load_id, metric, count(*) AS n, count(*) - count(txt) AS missing, count(DISTINCT txt) AS kinds, bool_or(bad) AS bad, quantile_cont(p, 0.5) AS med FROM u GROUP BY load_id, metric)
