@@ -1,9 +1,10 @@
 """Entity-attribute-value rows into one typed row per entity.
 
-Rows are partitioned by attribute into narrow tables that hold the typed value and the state of
-each cell, all of them hash-partitioned by entity, and combined through a balanced tree of outer
-joins on the entity with FAN tables at each node. Each inner node is written out: a single stage
-that joins all tables would hold a sort buffer for each of them at once.
+Cells are told once, by one aggregation over entity and attribute, and stored as one narrow table per
+attribute with the typed value and the state of each cell; all of them lie in the same buckets by
+entity, so that they are joined as they lie, without another shuffle. They are combined through a
+balanced tree of outer joins on the entity with FAN tables at each node. Each inner node is written
+out: a single stage that joins all tables would hold a sort buffer for each of them at once.
 
 Defined results
 - attribute names: case, surrounding blanks, blanks and hyphens don't matter; names that the type
@@ -16,13 +17,14 @@ Defined results
 
 from __future__ import annotations
 
+import os
+import uuid
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tessella.session import cut, written
+from tessella.session import shared_dir
 
 #: The texts that stand for a missing value.
 MISSING = ["", "nan", "none", "n/a"]
@@ -74,21 +76,34 @@ def typed(c: Column, kind: str) -> Column:
     raise ValueError(f"no such type: {kind}")
 
 
-def narrow_table(rows: DataFrame, kind: str) -> DataFrame:
-    """One attribute's rows to one row per entity: cell<value, unreadable, conflict>. Aggregates
-    combine before the shuffle, so an entity with very many rows sends one row per task."""
-    present = rows.filter(~F.col("_missing"))
-    value = typed(F.col("_text"), kind)
-    return (
-        present.withColumn("_v", value)
-        .groupBy("entity_id")
-        .agg(
-            F.max(F.when(F.col("_v").isNotNull(), F.struct("written_at", "row_id", "_v"))).getField("_v").alias("value"),
-            F.max(F.col("_v").isNull()).alias("unreadable"),
-            (F.min("_v") < F.max("_v")).alias("_differ"),
-        )
-        .select("entity_id", F.struct("value", "unreadable", (~F.col("unreadable") & F.coalesce(F.col("_differ"), F.lit(False))).alias("conflict")).alias("_cell"))
+def narrow_tables(clean: DataFrame, types: Mapping[str, str], buckets: int) -> DataFrame:
+    """A table (entity_id, _attr, one value column per type, unreadable, conflict) that lies in
+    one folder per attribute, each bucketed and sorted by entity. Aggregates combine before the shuffle,
+    so an entity with very many rows sends one row per task and attribute."""
+    kind = F.element_at(F.create_map(*[F.lit(x) for pair in types.items() for x in pair]), F.col("_attr"))
+    some = sorted(set(types.values()))
+    present = clean.filter(~F.col("_missing") & F.col("_attr").isin(list(types))).withColumn("_kind", kind)
+    for t in some:
+        present = present.withColumn(f"_{t}", F.when(F.col("_kind") == t, typed(F.col("_text"), t)))
+    read = F.coalesce(*[F.col(f"_{t}").isNotNull() for t in some]) if len(some) == 1 else F.greatest(*[F.col(f"_{t}").isNotNull() for t in some])
+    told = present.groupBy("entity_id", "_attr").agg(
+        *[F.max(F.when(F.col(f"_{t}").isNotNull(), F.struct("written_at", "row_id", f"_{t}"))).getField(f"_{t}").alias(f"value_{t}") for t in some],
+        F.max(~read).alias("unreadable"),
+        *[(F.min(f"_{t}") < F.max(f"_{t}")).alias(f"differ_{t}") for t in some],
     )
+    differ = F.coalesce(*[F.col(f"differ_{t}") for t in some], F.lit(False))
+    cells_ = told.select("entity_id", *[f"value_{t}" for t in some], "unreadable", (~F.col("unreadable") & differ).alias("conflict"), "_attr")
+    return bucketed(cells_.repartition(buckets, "entity_id"), buckets, ["_attr"])
+
+
+def bucketed(df: DataFrame, buckets: int, by: list[str] | None = None) -> DataFrame:
+    """df, which lies in as many partitions by entity, written to the shared folder in such buckets and
+    read again: joins on the entity take the buckets as they are."""
+    spark, name = df.sparkSession, f"wide_{uuid.uuid4().hex}"
+    writer = df.write.format("parquet").bucketBy(buckets, "entity_id").sortBy("entity_id")
+    writer = writer.partitionBy(*by) if by else writer
+    writer.option("path", os.path.join(shared_dir(spark), name)).saveAsTable(name)
+    return spark.table(name)
 
 
 def cells(rows: DataFrame, types: Mapping[str, str]) -> DataFrame:
@@ -97,33 +112,36 @@ def cells(rows: DataFrame, types: Mapping[str, str]) -> DataFrame:
     if len(types) > MAX_ATTRIBUTES:
         raise ValueError(f"more than {MAX_ATTRIBUTES} attributes")
     spark = rows.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     clean = (
         rows.withColumn("_attr", canonical_name(F.col("attr_name")))
         .withColumn("_text", bare(F.col("attr_value")))
         .filter(F.col("entity_id").isNotNull() & F.col("_attr").isNotNull())
         .select("entity_id", "_attr", "_text", is_missing(F.col("_text")).alias("_missing"), "written_at", "row_id")
     )
-    schema = T.StructType([f for f in clean.schema.fields if f.name != "_attr"]).add("_attr", "string")
-    # rebalance: files of even size per attribute, a hot attribute is split over many
-    base = spark.read.schema(schema).parquet(written(clean.hint("rebalance", F.col("_attr")), ["_attr"]))
-    spine = cut(base.select("entity_id").distinct())
+    spine = bucketed(clean.select("entity_id").distinct().repartition(buckets, "entity_id"), buckets)
+    if not types:
+        return spine
+    narrow = narrow_tables(clean, types, buckets)
 
     def tree(names: list[str]) -> DataFrame:
         if len(names) <= FAN:
-            # every node holds all entities, each once, so these are the outer joins of its tables;
-            # as left joins they keep the partitioning by entity from one to the next
+            # outer joins with the entity kept on the left, as every node holds each entity once: so
+            # the partitioning by entity goes on from one join to the next, which that of a full
+            # outer join doesn't
             node = spine
             for n in names:
-                node = node.join(narrow_table(base.filter(F.col("_attr") == n), types[n]).withColumnRenamed("_cell", n), "entity_id", "left")
+                cell = F.struct(F.col(f"value_{types[n]}").alias("value"), "unreadable", "conflict")
+                node = node.join(narrow.filter(F.col("_attr") == n).select("entity_id", cell.alias(n)), "entity_id", "left_outer")
             return node
         step = -(-len(names) // FAN)
-        parts = [cut(tree(names[i : i + step])) for i in range(0, len(names), step)]
+        parts = [bucketed(tree(names[i : i + step]), buckets) for i in range(0, len(names), step)]
         node = parts[0]
         for p in parts[1:]:
-            node = node.join(p, "entity_id", "left")
+            node = node.join(p, "entity_id", "left_outer")
         return node
 
-    return tree(list(types)) if types else spine
+    return tree(list(types))
 
 
 def widen(rows: DataFrame, types: Mapping[str, str]) -> DataFrame:
