@@ -41,6 +41,7 @@ _PART = T.StructType(
     + [T.StructField(n, T.DoubleType()) for n in ("lo", "hi", "first", "last")]
     + [T.StructField("n", T.LongType())]
     + [T.StructField(n, T.ArrayType(T.DoubleType())) for n in ("wraps", "gap", "steps", "moves")]
+    + [T.StructField(n, T.IntegerType()) for n in ("_pid", "_batch")]
 )
 
 
@@ -52,17 +53,18 @@ def _per_step(d: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    table = pa.Table.from_batches(list(batches)) if batches else None
-    if table is None or not table.num_rows:
-        return
-    sid, v = table.column("series_id").to_numpy(), table.column("v").to_numpy()
-    starts = np.flatnonzero(_codes(table, ["series_id"]))
-    ends = np.append(starts[1:], len(v)) - 1
-    d = np.diff(v, prepend=v[0])
-    d[starts] = 0.0
-    sums = [np.add.reduceat(x, starts, axis=0) for x in _per_step(d)]
-    cols = [sid[starts], np.minimum.reduceat(v, starts), np.maximum.reduceat(v, starts), v[starts], v[ends], (ends - starts + 1)]
-    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols] + [pa.array(list(x), pa.list_(pa.float64())) for x in sums], names=[f.name for f in _PART])
+    """Sums of each series within each batch of sorted readings, with the batch's number."""
+    for number, batch in enumerate(b for b in batches if b.num_rows):
+        sid, v = batch.column("series_id").to_numpy(), batch.column("v").to_numpy()
+        starts = np.flatnonzero(_codes(batch, ["series_id"]))
+        ends = np.append(starts[1:], len(v)) - 1
+        d = np.diff(v, prepend=v[0])
+        d[starts] = 0.0
+        sums = [np.add.reduceat(x, starts, axis=0) for x in _per_step(d)]
+        cols = [sid[starts], np.minimum.reduceat(v, starts), np.maximum.reduceat(v, starts), v[starts], v[ends], (ends - starts + 1)]
+        arrays = [pa.array(c) for c in cols] + [pa.array(list(x), pa.list_(pa.float64())) for x in sums]
+        place = [batch.column("_pid").slice(0, 1).take(pa.array(np.zeros(len(starts), int))), pa.array(np.full(len(starts), number, np.int32))]
+        yield pa.RecordBatch.from_arrays([*arrays, *place], names=_PART.names)
 
 
 def step_sums(readings: DataFrame) -> DataFrame:
@@ -71,11 +73,11 @@ def step_sums(readings: DataFrame) -> DataFrame:
         "series_id", "t", F.col("feat_value").cast("double").alias("v")
     )
     parts = clean.repartitionByRange("series_id", "t").sortWithinPartitions("series_id", "t", "v").withColumn("_pid", F.spark_partition_id()).mapInArrow(
-        lambda b: _with_pid(b), T.StructType([*_PART.fields, T.StructField("_pid", T.IntegerType())])
+        _parts, _PART
     )
-    # a series that spans partitions has one row in each: the steps across are added
+    # a series that spans batches or partitions has one row in each: the steps across are added
     rows = parts.groupBy("series_id").agg(
-        F.array_sort(F.collect_list(F.struct("_pid", "first", "last"))).alias("edges"),
+        F.array_sort(F.collect_list(F.struct("_pid", "_batch", "first", "last"))).alias("edges"),
         F.min("lo").alias("lo"),
         F.max("hi").alias("hi"),
         F.sum("n").alias("n"),
@@ -101,16 +103,6 @@ def step_sums(readings: DataFrame) -> DataFrame:
     )
 
 
-def _with_pid(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held = list(batches)
-    held = [b for b in held if b.num_rows]
-    if not held:
-        return
-    pid = held[0].column("_pid")[0].as_py()
-    for out in _parts(iter(held)):
-        yield pa.RecordBatch.from_arrays([*out.columns, pa.array([pid] * out.num_rows, pa.int32())], names=[*out.schema.names, "_pid"])
-
-
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
 def _text_scores(text: pd.Series, field: pd.Series) -> pd.Series:
     return pd.Series([list(circle_scores(t if isinstance(t, str) else None, f if isinstance(f, str) else None)) for t, f in zip(text, field)])

@@ -3,9 +3,10 @@ from datetime import datetime
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessella.functions.unit_text import PERIODS, circle_scores
-from tessella.operators.units import in_radians, recorded_units
+from tessella.operators.units import in_radians, recorded_units, step_sums
 
 TEXTS = [
     ("360,0 °", "gaze_angle", "deg"), ("2π rad", "headdirection", "rad"), ("2*pi", "phase", "rad"), ("6 400 mil", "bearing", "mil"), ("Grad (Winkel, 360)", "angle", "deg"),
@@ -42,3 +43,28 @@ def test_readings_decide(spark):
     rad = in_radians(s, f).toPandas()
     assert rad.radians.max() <= 2 * math.pi and len(rad[rad.series_id == 1]) == 61  # 60 readings and the one at t = 22
     assert recorded_units(s, f.limit(0)).count() == 0
+
+
+def test_labels_decide_where_the_readings_leave_several_units(spark):
+    # the steps across are shorter than the usual ones in degrees as in gon, so both close the circle
+    turn = [5.0, 105.0, 205.0, 305.0, 355.0] * 8
+    texts = {1: ("360 °", "deg"), 2: ("400 gon", "gon"), 3: ("gradians", "gon"), 4: ("-180..180 deg", "deg"), 5: ("kilogon 0.4", "gon")}
+    f = spark.createDataFrame([(k, t, v) for k in texts for t, v in enumerate(turn)], "series_id bigint, t bigint, feat_value double")
+    s = spark.createDataFrame([(k, "angle", x, None, True, datetime(2014, 1, 1)) for k, (x, _) in texts.items()], "series_id bigint, feature string, period_text string, circular_period double, is_circular boolean, noted_at timestamp_ntz")
+    got = {r.series_id: r.unit_code for r in recorded_units(s, f).collect()}
+    assert {k: got[k] for k in (1, 2, 3, 4)} == {k: texts[k][1] for k in (1, 2, 3, 4)}
+    fine = spark.createDataFrame([(1, t, float((t * 7) % 360)) for t in range(120)], "series_id bigint, t bigint, feat_value double")
+    assert recorded_units(s.withColumn("period_text", F.lit("400 gon")), fine).first().unit_code == "deg"  # where they don't, readings hold
+
+
+def test_a_series_over_many_batches_is_as_in_one(spark):
+    f = spark.createDataFrame([(1, t, float((t * 7) % 360)) for t in range(900)], "series_id bigint, t bigint, feat_value double")
+    one = step_sums(f.repartition(1)).collect()
+    kept = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "13")
+    try:
+        many = step_sums(f.repartition(3)).collect()
+        assert len(many) == len(one) == 1 and many[0].n == one[0].n == 900
+        assert all(np.allclose(many[0][c], one[0][c]) for c in ("lo", "hi", "wraps", "gap", "steps", "moves"))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", kept)
