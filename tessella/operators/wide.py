@@ -57,17 +57,23 @@ def number_text(c: Column) -> Column:
     return F.when(point.rlike(r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$"), F.regexp_replace(point, r"^\+", ""))
 
 
+def whole(text: Column) -> Column:
+    """A number's text as a whole number, null if it has a fraction. In a lambda the text is worked
+    out once; written out it would be repeated until the generated code is too long to be compiled."""
+    plain = F.when(text.rlike(r"^-?\d+(\.0*)?$"), F.regexp_replace(text, r"\.0*$", "").try_cast("bigint"))
+    real = text.try_cast("double")
+    return F.coalesce(plain, F.when((real == F.floor(real)) & (F.abs(real) < 2.0**53), real.try_cast("bigint")))
+
+
 def typed(c: Column, kind: str) -> Column:
     """A present text as the type, null where it can't be read."""
     if kind == "string":
         return c
     if kind == "double":
-        return number_text(c).try_cast("double")
+        # most are plain; the others are looked at more closely
+        return F.when(c.rlike(r"^-?\d+(\.\d+)?$"), c.try_cast("double")).otherwise(number_text(c).try_cast("double"))
     if kind == "bigint":
-        text = number_text(c)
-        whole = F.when(text.rlike(r"^-?\d+(\.0*)?$"), F.regexp_replace(text, r"\.0*$", "").try_cast("bigint"))
-        real = text.try_cast("double")
-        return F.coalesce(whole, F.when((real == F.floor(real)) & (F.abs(real) < 2.0**53), real.try_cast("bigint")))
+        return F.when(c.rlike(r"^-?\d{1,18}$"), c.try_cast("bigint")).otherwise(F.transform(F.array(number_text(c)), whole)[0])
     if kind == "boolean":
         low = F.lower(c)
         return F.when(low.isin("true", "yes", "1", "np.true_"), True).when(low.isin("false", "no", "0", "np.false_"), False)
@@ -82,17 +88,20 @@ def narrow_tables(clean: DataFrame, types: Mapping[str, str], buckets: int) -> D
     so an entity with very many rows sends one row per task and attribute."""
     kind = F.element_at(F.create_map(*[F.lit(x) for pair in types.items() for x in pair]), F.col("_attr"))
     some = sorted(set(types.values()))
-    present = clean.filter(~F.col("_missing") & F.col("_attr").isin(list(types))).withColumn("_kind", kind)
-    for t in some:
-        present = present.withColumn(f"_{t}", F.when(F.col("_kind") == t, typed(F.col("_text"), t)))
-    read = F.coalesce(*[F.col(f"_{t}").isNotNull() for t in some]) if len(some) == 1 else F.greatest(*[F.col(f"_{t}").isNotNull() for t in some])
-    told = present.groupBy("entity_id", "_attr").agg(
+    # conditions on what is worked out here would be moved down and worked out twice: so rows are
+    # kept until they are told
+    rows = clean.withColumn("_kind", F.when(~F.col("_missing"), kind))
+    rows = rows.select("entity_id", "_attr", "_kind", "written_at", "row_id", *[F.when(F.col("_kind") == t, typed(F.col("_text"), t)).alias(f"_{t}") for t in some])
+    read = F.coalesce(*[F.col(f"_{t}").cast("string") for t in some]).isNotNull()
+    told = rows.groupBy("entity_id", "_attr").agg(
         *[F.max(F.when(F.col(f"_{t}").isNotNull(), F.struct("written_at", "row_id", f"_{t}"))).getField(f"_{t}").alias(f"value_{t}") for t in some],
-        F.max(~read).alias("unreadable"),
+        F.max(F.when(F.col("_kind").isNotNull(), ~read)).alias("unreadable"),
         *[(F.min(f"_{t}") < F.max(f"_{t}")).alias(f"differ_{t}") for t in some],
     )
     differ = F.coalesce(*[F.col(f"differ_{t}") for t in some], F.lit(False))
+    told = told.filter(F.col("unreadable").isNotNull())
     cells_ = told.select("entity_id", *[f"value_{t}" for t in some], "unreadable", (~F.col("unreadable") & differ).alias("conflict"), "_attr")
+    # as many partitions as buckets: a task writes one file per attribute
     return bucketed(cells_.repartition(buckets, "entity_id"), buckets, ["_attr"])
 
 
@@ -114,9 +123,9 @@ def cells(rows: DataFrame, types: Mapping[str, str]) -> DataFrame:
     spark = rows.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     clean = (
-        rows.withColumn("_attr", canonical_name(F.col("attr_name")))
+        rows.filter(F.col("entity_id").isNotNull() & F.col("attr_name").isNotNull())
+        .withColumn("_attr", canonical_name(F.col("attr_name")))
         .withColumn("_text", bare(F.col("attr_value")))
-        .filter(F.col("entity_id").isNotNull() & F.col("_attr").isNotNull())
         .select("entity_id", "_attr", "_text", is_missing(F.col("_text")).alias("_missing"), "written_at", "row_id")
     )
     spine = bucketed(clean.select("entity_id").distinct().repartition(buckets, "entity_id"), buckets)
