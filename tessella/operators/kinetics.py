@@ -128,3 +128,70 @@ def ksg(x: np.ndarray, y: np.ndarray, k: int = 5) -> float:
 @F.pandas_udf(T.DoubleType())
 def ksg_information(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([ksg(np.asarray(x, float), np.asarray(y, float)) for x, y in zip(a, b)])
+
+
+@F.pandas_udf(T.DoubleType())
+def neighbour_entropy(values: pd.Series, k: pd.Series) -> pd.Series:
+    """Entropy of each array of readings from the distance to the k-th neighbour (Kozachenko and
+    Leonenko), in bits. Ties are broken by a tiny slope, so that any run agrees."""
+
+    def one(v, k: int) -> float | None:
+        x = np.asarray(v, float)
+        n = len(x)
+        if n <= k + 1:
+            return None
+        x = np.sort(x + 1e-10 * (np.arange(n) * 0.6180339887 % 1) * (x.std() or 1))
+        # the k-th neighbour is among the k before and the k after
+        near = np.full((n, 2 * k), np.inf)
+        for j in range(1, k + 1):
+            d = x[j:] - x[:-j]
+            near[j:, j - 1], near[:-j, k + j - 1] = d, d
+        eps = np.sort(near, axis=1)[:, k - 1]
+        return float((_digamma(np.array([n]))[0] - _digamma(np.array([k]))[0] + np.log(2 * eps).mean()) / math.log(2))
+
+    return pd.Series([one(v, int(c)) for v, c in zip(values, k)])
+
+
+def rise_constants(df: DataFrame, events: DataFrame, fps: float, before: int = 20) -> DataFrame:
+    """(key, start, end, tau): amplitude over steepest step of the signal on its way to an event's
+    peak, smoothed over five frames by parabolas, in seconds; only between 0.01 and 1. The frames
+    from `before` ahead of the peak on are taken, an event's few rows at a time."""
+    frames = events.withColumn("t", F.explode(F.sequence(F.col("start") - before, F.col("end") - 1))).join(df, ["key", "t"])
+    top = F.array_max(F.filter("_a", lambda x: x["t"] >= F.col("start"))["value"])
+    rows = frames.groupBy("key", "start", "end").agg(F.array_sort(F.collect_list(F.struct("t", "value"))).alias("_a"))
+    peak = F.array_min(F.filter("_a", lambda x: (x["t"] >= F.col("start")) & (x["value"] == top))["t"])
+
+    @F.pandas_udf(T.DoubleType())
+    def tau(rise: pd.Series) -> pd.Series:
+        def one(v) -> float | None:
+            x = np.asarray(v, float)
+            if len(x) < 5:
+                return None
+            # weights of the parabola through five frames, which at the ends holds for them as well
+            a = np.vander(np.arange(-2, 3), 3, increasing=True)
+            hat = a @ np.linalg.pinv(a)
+            y = np.convolve(x, hat[2][::-1], "same")
+            y[:2], y[-2:] = (hat @ x[:5])[:2], (hat @ x[-5:])[-2:]
+            steep, height = np.gradient(y).max() * fps, y[-1] - np.median(y[:5])
+            value = height / steep if steep > 1e-6 else -1.0
+            return float(value) if height > 0 and 0.01 < value < 1 else None
+
+        return rise.map(one)
+
+    up = rows.withColumn("_p", peak).withColumn("_r", F.transform(F.filter("_a", lambda x: (x["t"] <= F.col("_p")) & (x["t"] > F.col("_p") - before)), lambda x: x["value"]))
+    return up.select("key", "start", "end", tau("_r").alias("tau")).filter("tau is not null")
+
+
+def reconstructed(df: DataFrame, method) -> DataFrame:
+    """(key, t, value): each signal, as long as its recording, through a function from its places and
+    values to as many values, such as one that takes events out of a signal."""
+    kind = df.schema["key"].dataType.simpleString()
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("t")
+        out = np.asarray(method(pdf["t"].to_numpy(), pdf["value"].to_numpy(float)), float)
+        if out.shape != (len(pdf),):
+            raise ValueError("a reconstruction gives one value per place")
+        return pd.DataFrame({"key": pdf["key"], "t": pdf["t"], "value": out})
+
+    return df.select("key", "t", "value").groupBy("key").applyInPandas(run, f"key {kind}, t long, value double")

@@ -312,3 +312,44 @@ def compare_rdms(a: DataFrame, b: DataFrame) -> DataFrame:
     return r.agg(
         F.corr("x", "y").alias("pearson"), F.corr("_rx", "_ry").alias("spearman"), F.try_divide(F.sum(F.col("x") * F.col("y")), F.sqrt(F.sum(F.col("x") * F.col("x"))) * F.sqrt(F.sum(F.col("y") * F.col("y")))).alias("cosine")
     )
+
+
+def eps_graph(all_points: DataFrame, eps: float, metric="euclidean", least: int = 0) -> DataFrame:
+    """(a, b, distance): edges a < b between points at most eps apart; of points with fewer than least
+    neighbours none. Every point is a query in some block; a cloud's edges are its result."""
+    e = within(all_points, all_points, eps, metric).filter("query < id").select(F.col("query").alias("a"), F.col("id").alias("b"), "distance")
+    if not least:
+        return e
+    enough = e.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("_n")).filter(F.col("_n") >= least).select("id")
+    return e.join(enough.withColumnRenamed("id", "a"), "a", "left_semi").join(enough.withColumnRenamed("id", "b"), "b", "left_semi").select("a", "b", "distance")
+
+
+def procrustes(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(n, disparity): of the points of both clouds (id, features), what is left of their squared
+    distances, each cloud centred and of size 1, after the best turn, reflection and scale. Only the
+    matrix of their products, as large as the features, leaves the cluster."""
+    both = a.select("id", F.col("features").alias("_a")).join(b.select("id", F.col("features").alias("_b")), "id").select("id", F.concat("_a", "_b").alias("features"), F.size("_a").alias("_d"))
+    first = both.select("_d").first()
+    spark = a.sparkSession
+    if first is None:
+        return spark.createDataFrame([], "n long, disparity double")
+    n, s, g = moments(both.select("id", "features"))
+    c, d = g - np.outer(s, s) / n, first["_d"]
+    size = np.trace(c[:d, :d]) * np.trace(c[d:, d:])
+    value = 1 - np.linalg.svd(c[:d, d:], compute_uv=False).sum() ** 2 / size if size > 0 else None
+    return spark.createDataFrame([(n, None if value is None else float(value))], "n long, disparity double")
+
+
+def reconstruction_score(df: DataFrame, truth: str, decoded: str, decoding: float, circular: bool = True) -> DataFrame:
+    """(error, correlation, score): mean error (angular, of pi, or absolute, of 1), correlation of the
+    two (of their sines and cosines, averaged, for angles), and 0.4 (1 - error) + 0.3 correlation +
+    0.3 decoding, where decoding is an accuracy measured elsewhere."""
+    t, d = F.col(truth), F.col(decoded)
+    if circular:
+        miss = F.abs(F.pmod(d - t + np.pi, F.lit(2 * np.pi)) - np.pi)
+        r = (F.corr(F.cos(t), F.cos(d)) + F.corr(F.sin(t), F.sin(d))) / 2
+        scale = float(np.pi)
+    else:
+        miss, r, scale = F.abs(d - t), F.corr(t, d), 1.0
+    m = df.filter(t.isNotNull() & d.isNotNull()).agg((F.avg(miss) / scale).alias("error"), r.alias("correlation"))
+    return m.withColumn("score", 0.4 * F.greatest(F.lit(0.0), 1 - F.col("error")) + 0.3 * F.greatest(F.lit(0.0), F.col("correlation")) + 0.3 * decoding)

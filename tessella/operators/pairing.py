@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessella.functions.special import digamma, digamma_value
+from tessella.operators.information import cross_correlations
 from tessella.operators.selectivity import p_values, thresholds
 
 LN2 = math.log(2)
@@ -387,3 +388,10 @@ def composed(*filters: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame]
 def tagged(rows: DataFrame, key: Column, t: Column, x: Column, kind: str, dim: int | Column = 0) -> DataFrame:
     """Rows of one side: (key, kind, dim, t, x)."""
     return rows.select(key.alias("key"), F.lit(kind).alias("kind"), F.lit(dim).alias("dim"), t.cast("long").alias("t"), x.cast("double").alias("x"))
+
+
+def on_frames(units: DataFrame, features: DataFrame) -> DataFrame:
+    """(unit, feature, r): correlation of every unit with every feature over the places that both have;
+    of one-dimensional series (key, kind, dim, t, x)."""
+    one = lambda df, name: df.filter("dim = 0 and x is not null and not isnan(x)").select(F.col("key").alias("key"), "t", F.col("x").alias(name))
+    return cross_correlations(one(units, "x"), one(features, "x"), "key", "t", "x").select(F.col("key_a").alias("unit"), F.col("key_b").alias("feature"), "r")

@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from tessella.functions.special import digamma_sql
 from tessella.operators import conditional as C
 from tessella.operators import information as I
+from tessella.operators import kinetics as K
 from tessella.operators import manifold as M
+from tessella.operators import pairing as P
 from tessella.operators import shapes as H
 from tessella.operators import signal as G
 from tessella.plans import models, selective, signals
@@ -109,6 +111,44 @@ def stress(spark, d):
     return _r(M.stress(p, models._low(p), q), "stress")
 
 
+def eps_graph(spark, d):
+    p, _ = models._cloud(spark, d)
+    return _r(M.eps_graph(p, 1.1), "distance")
+
+
+def procrustes(spark, d):
+    """The cloud's first two components against its next two."""
+    p, _ = models._cloud(spark, d)
+    part = lambda a: p.select("id", F.slice("features", a, 2).alias("features"))
+    return _r(M.procrustes(part(1), part(3)), "disparity")
+
+
+def reconstruction(spark, d):
+    ev = read(spark, d, "events").select((F.hour(F.col("ts").cast("timestamp")) * (2 * math.pi / 24)).alias("a"), (F.pmod("event_id", F.lit(24)) * (2 * math.pi / 24)).alias("b"))
+    return _r(M.reconstruction_score(ev, "a", "b", 0.5), "error", "correlation", "score")
+
+
+def neighbour_entropies(spark, d):
+    return models._arrays(spark, d).select("series", F.round(K.neighbour_entropy("values", F.lit(5)), 6).alias("entropy"))
+
+
+def reconstructed_steps(spark, d):
+    """Signals through a given function: the part of each step that goes up."""
+    up = lambda t, v: np.maximum(np.diff(v, prepend=v[0]), 0)
+    return _r(K.reconstructed(signals._rows(spark, d), up), "value").withColumnRenamed("key", "series")
+
+
+def frames_joined(spark, d):
+    s = selective._scores(spark, d)
+    return _r(P.on_frames(selective._units(s), selective._continuous(s)), "r")
+
+
+def event_minutes(spark, d):
+    """Frames at 20 a second as minutes, and the time of day at which each ends."""
+    e = _events(spark, d).select(F.col("key").alias("unit_id"), "start", "end")
+    return e.select("unit_id", "start", F.round(F.col("start") / (20 * 60), 6).alias("minute"), F.date_format(F.timestamp_seconds(F.floor(F.col("end") / 20)), "HH:mm:ss").alias("at"))
+
+
 def _rdm(metric, how="mean"):
     def run(spark, d):
         return _r(M.rdm(M.patterns(read(spark, d, "embeddings"), "label", "embedding", how), metric), "dissimilarity")
@@ -120,7 +160,7 @@ rdm_euclidean, rdm_manhattan, rdm_cosine, rdm_of_medians = _rdm("euclidean"), _r
 
 _NAMES = [
     masked_frames, shuffled_intervals, analytic_signal, events_iterative, rate_map_smoothed, place_fields, cross_correlations, multivariate, radius_neighbours, radius_counts, knn_cityblock,
-    knn_callable, knn_graph, correlation_dimension, stress,
+    knn_callable, knn_graph, correlation_dimension, stress, eps_graph, procrustes, reconstruction, neighbour_entropies, reconstructed_steps, frames_joined, event_minutes,
 ]
 
 
@@ -190,6 +230,13 @@ def oracle_sql():
         "knn_graph": f"WITH {_P}, n AS ({e2}), o AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(distance ** 2, 12), id) AS k FROM n) SELECT least(query, id) AS a, greatest(query, id) AS b, round(min(distance), 6) AS distance FROM o WHERE k <= 10 GROUP BY ALL",
         "correlation_dimension": f"WITH {_P}, n AS ({e2}), c AS (SELECT count(*) FILTER (WHERE distance <= 1.2) AS near, count(*) FILTER (WHERE distance <= 1.4) AS far FROM n) SELECT near, far, round(ln(far / near) / ln(1.4 / 1.2), 5) AS dimension FROM c",
         "stress": f"WITH {_P}, n AS (SELECT list_distance(a.f, b.f) AS h, list_distance(a.f[1:8], b.f[1:8]) AS l FROM p a JOIN p b ON a.id % 20 = 0 AND a.id <> b.id) SELECT count(*) AS n, round(sqrt(sum(power(h - l, 2)) / sum(h * h)), 6) AS stress FROM n",
+        "eps_graph": f"WITH {_P} SELECT a.id AS a, b.id AS b, round(list_distance(a.f, b.f), 6) AS distance FROM p a JOIN p b ON a.id < b.id WHERE list_distance(a.f, b.f) <= 1.1",
+        "procrustes": f"WITH {_P}, x AS (SELECT f[1] AS a, f[2] AS b, f[3] AS c, f[4] AS d FROM p), m AS (SELECT count(*) AS n, covar_pop(a, c) AS ac, covar_pop(a, d) AS ad, covar_pop(b, c) AS bc, covar_pop(b, d) AS bd, (var_pop(a) + var_pop(b)) * (var_pop(c) + var_pop(d)) AS z FROM x) SELECT n, round(1 - (ac * ac + ad * ad + bc * bc + bd * bd + 2 * abs(ac * bd - ad * bc)) / z, 6) AS disparity FROM m",
+        "reconstruction": f"WITH e AS (SELECT hour(ts) * {2 * math.pi / 24!r} AS a, (event_id % 24) * {2 * math.pi / 24!r} AS b FROM events WHERE ts IS NOT NULL), m AS (SELECT avg(acos(least(1, greatest(-1, cos(a - b))))) / pi() AS error, (corr(cos(a), cos(b)) + corr(sin(a), sin(b))) / 2 AS r FROM e) SELECT round(error, 6) AS error, round(r, 6) AS correlation, round(0.4 * greatest(0, 1 - error) + 0.3 * greatest(0, r) + 0.3 * 0.5, 6) AS score FROM m",
+        "neighbour_entropies": f"WITH {HOURLY}, v AS (SELECT series, t, value + 1e-10 * ((t * 0.6180339887) % 1) * stddev_pop(value) OVER (PARTITION BY series) AS x, count(*) OVER (PARTITION BY series) AS n FROM hourly), d AS (SELECT a.series, a.t, any_value(a.n) AS n, list(abs(a.x - b.x) ORDER BY abs(a.x - b.x))[5] AS eps FROM v a JOIN v b ON a.series = b.series AND a.t <> b.t GROUP BY a.series, a.t) SELECT series, round(({digamma_sql('any_value(n) * 1.0')} - {digamma_sql('5.0')} + avg(ln(2 * eps))) / ln(2.0), 6) AS entropy FROM d GROUP BY series",
+        "reconstructed_steps": f"WITH {HOURLY} SELECT series, CAST(t AS BIGINT) AS t, round(greatest(0, value - coalesce(lag(value) OVER (PARTITION BY series ORDER BY t), value)), 6) AS value FROM hourly",
+        "frames_joined": f"WITH {selective._BASE} SELECT a.series AS unit, b.feature, round(corr(a.z, b.z), 6) AS r FROM scores a JOIN fc b ON a.t = b.t GROUP BY ALL",
+        "event_minutes": f"WITH {signals._EVENTS} SELECT unit_id, \"start\", round(\"start\" / (20 * 60), 6) AS minute, strftime(make_timestamp(CAST((\"end\" // 20) * 1000000 AS BIGINT)), '%H:%M:%S') AS \"at\" FROM ev",
         "rdm_euclidean": dissimilar("sqrt(sum(power(a.v - b.v, 2)))"),
         "rdm_manhattan": dissimilar("sum(abs(a.v - b.v))"),
         "rdm_cosine": dissimilar("1 - sum(a.v * b.v) / (sqrt(sum(a.v * a.v)) * sqrt(sum(b.v * b.v)))"),

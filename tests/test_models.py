@@ -170,3 +170,19 @@ def test_small_world_of_a_ring_lattice(spark):
     assert r.clustering == pytest.approx(0.5) and r.length == pytest.approx(sum(-(-d // 2) for d in [*range(1, 31), *range(1, 30)]) / 59)
     assert r["index"] > 1
     assert small_world(ring.limit(0)).first()["index"] is None
+
+
+def test_rise_hooks_and_entropy(spark):
+    t = np.arange(200)
+    x = np.where(t >= 100, 2 * (1 - np.exp(-(t - 100) / 6.0)), 0.0) * np.exp(-np.maximum(t - 100, 0) / 60.0)
+    df = spark.createDataFrame(pd.DataFrame({"key": "a", "t": t, "value": x}))
+    ev = spark.createDataFrame([("a", 101, 140)], "key string, start bigint, end bigint")
+    assert 0.05 < kinetics.rise_constants(df, ev, 20.0, 30).first().tau < 0.9
+    assert kinetics.rise_constants(df, ev.limit(0), 20.0).count() == 0
+    out = kinetics.reconstructed(df, lambda t, v: v * 2).toPandas().sort_values("t")
+    assert np.allclose(out.value, 2 * x)
+    with pytest.raises(Exception, match="one value per place"):
+        kinetics.reconstructed(df, lambda t, v: v[:3]).count()
+    rng = np.random.default_rng(0)
+    e = spark.createDataFrame([(rng.uniform(0, 4, 3000).tolist(),), (rng.normal(size=3000).tolist(),), ([1.0],)], "v array<double>").select(kinetics.neighbour_entropy("v", F.lit(5)).alias("e")).collect()
+    assert abs(e[0].e - 2) < 0.1 and abs(e[1].e - 0.5 * math.log2(2 * math.pi * math.e)) < 0.1 and e[2].e is None
