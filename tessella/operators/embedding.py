@@ -144,9 +144,92 @@ def fit(points: np.ndarray, method: str, k: int, neighbours: int = 15, weighted:
         lam, vec = np.linalg.eigh(e.T @ e)
         coords = _fixed_sign(vec[:, 1 : k + 1])
         return coords, _spread(coords, neighbours)
+    if method in ("hlle", "tsne", "umap"):
+        coords = _fixed_sign({"hlle": hessian, "tsne": stochastic_neighbours, "umap": fuzzy_layout}[method](points, d, k, neighbours))
+        return coords, _spread(coords, neighbours)
     raise ValueError(f"no such method: {method}")
 
 
+def hessian(points: np.ndarray, d: np.ndarray, k: int, neighbours: int) -> np.ndarray:
+    """Coordinates with the least curvature: at each point the neighbours' tangent coordinates, with
+    their products, tell the part of a function that bends; what bends nowhere is kept."""
+    n, m = len(points), min(max(neighbours, k + k * (k + 1) // 2 + 1), len(points) - 1)
+    order = np.argsort(d + np.diag(np.full(n, np.inf)), axis=1)[:, :m]
+    bends = np.zeros((n, n))
+    upper = np.triu_indices(k)
+    for at in order:
+        z = points[at] - points[at].mean(axis=0)
+        u = np.linalg.svd(z, full_matrices=False)[0][:, :k]
+        basis = np.column_stack([np.ones(m), u, u[:, upper[0]] * u[:, upper[1]]])
+        bent = np.linalg.qr(basis)[0][:, k + 1 :]
+        bends[np.ix_(at, at)] += bent @ bent.T
+    # constants don't bend either and mix with the coordinates: what varies is told apart
+    flat = np.linalg.eigh(bends)[1][:, : k + 1]
+    return np.linalg.svd(flat - flat.mean(axis=0), full_matrices=False)[0][:, :k] * np.sqrt(n)
+
+
+def _leading(points: np.ndarray, k: int) -> np.ndarray:
+    z = points - points.mean(axis=0)
+    u, s, _ = np.linalg.svd(z, full_matrices=False)
+    out = np.zeros((len(points), k))
+    out[:, : min(k, len(s))] = _fixed_sign(u[:, :k] * s[:k])
+    return out / (out[:, :1].std() or 1.0)
+
+
+def stochastic_neighbours(points: np.ndarray, d: np.ndarray, k: int, neighbours: int, rounds: int = 400) -> np.ndarray:
+    """Coordinates whose Student neighbourhoods agree with Gaussian ones of perplexity `neighbours`,
+    from the leading axes on, by gradient steps with momentum; the same points give the same result."""
+    n = len(points)
+    perplexity, d2 = min(neighbours, (n - 1) / 3), d**2
+    np.fill_diagonal(d2, np.inf)
+    lo, hi, beta = np.zeros(n), np.full(n, np.inf), 1 / np.maximum(np.median(np.where(np.isfinite(d2), d2, 0), axis=1), 1e-12)
+    for _ in range(60):  # the width at which the entropy is that of the perplexity
+        p = np.exp(-beta[:, None] * (d2 - d2.min(axis=1, keepdims=True)))
+        p /= p.sum(axis=1, keepdims=True)
+        h = -(p * np.log(np.maximum(p, 1e-300))).sum(axis=1)
+        wide = h > np.log(perplexity)
+        lo, hi = np.where(wide, beta, lo), np.where(wide, hi, beta)
+        beta = np.where(np.isinf(hi), beta * 2, (lo + hi) / 2)
+    p = np.maximum((p + p.T) / (2 * n), 1e-12)
+    y = 1e-2 * _leading(points, k)
+    step, gain, rate = np.zeros_like(y), np.ones_like(y), max(n / 12 / 4, 10.0)
+    for r in range(rounds):
+        w = 1 / (1 + distances(y, y) ** 2)
+        np.fill_diagonal(w, 0)
+        f = (p * (12 if r < rounds // 4 else 1) - w / w.sum()) * w
+        slope = 4 * (f.sum(axis=1)[:, None] * y - f @ y)
+        gain = np.maximum(np.where(np.sign(slope) != np.sign(step), gain + 0.2, gain * 0.8), 0.01)
+        step = (0.5 if r < rounds // 4 else 0.8) * step - rate * gain * slope
+        y = y + step
+    return y - y.mean(axis=0)
+
+
+def fuzzy_layout(points: np.ndarray, d: np.ndarray, k: int, neighbours: int, rounds: int = 300, spread: float = 1.5, power: float = 0.9) -> np.ndarray:
+    """Coordinates of a fuzzy neighbour graph: memberships fall from the nearest neighbour on so that
+    they add up to log2 of the neighbours, joined by either end; edges pull and all pairs push."""
+    n, m = len(points), min(neighbours, len(points) - 1)
+    order = np.argsort(d + np.diag(np.full(n, np.inf)), axis=1)[:, :m]
+    near = np.take_along_axis(d, order, 1)
+    first, lo, hi = near[:, :1], np.full(n, 1e-9), np.full(n, near.max() * 100 + 1e-9)
+    for _ in range(60):
+        mid = np.sqrt(lo * hi)
+        much = np.exp(-np.maximum(near - first, 0) / mid[:, None]).sum(axis=1) > np.log2(max(m, 2))
+        lo, hi = np.where(much, lo, mid), np.where(much, mid, hi)
+    w = np.zeros((n, n))
+    w[np.repeat(np.arange(n), m), order.ravel()] = np.exp(-np.maximum(near - first, 0) / mid[:, None]).ravel()
+    w = w + w.T - w * w.T
+    y = 10 * _leading(points, k)
+    for r in range(rounds):
+        d2 = distances(y, y) ** 2
+        pull = w * (2 * spread * power * np.maximum(d2, 1e-6) ** (power - 1)) / (1 + spread * d2**power)
+        push = (1 - w) * 2 * power / ((0.001 + d2) * (1 + spread * d2**power)) * (w.sum() / n**2) * 5
+        np.fill_diagonal(push, 0)
+        f = push - pull
+        move = np.clip(f.sum(axis=1)[:, None] * y - f @ y, -4, 4)
+        y = y + (1 - r / rounds) * 0.3 * move
+    return y - y.mean(axis=0)
+
+
 def embed(points: DataFrame, landmarks: DataFrame, method: str, k: int = 2, **options) -> DataFrame:
     """(id, features): every point in k dimensions; landmarks keep the coordinates fitted to them."""
     ids, x = gather(landmarks)
@@ -258,3 +341,33 @@ def circular_alignment(df: DataFrame, truth: str, decoded: str, steps: int = 360
     miss = F.abs(F.pmod(turned - F.col(truth) + np.pi, F.lit(2 * np.pi)) - np.pi)
     mean = each.groupBy("id", "offset", "reflected").agg(F.avg(miss).alias("error"))
     return mean.agg(F.min(F.struct(F.round("error", 9).alias("error"), "id", "offset", "reflected")).alias("_b")).select("_b.offset", "_b.reflected", "_b.error")
+
+
+def alignment_quality(df: DataFrame, truth: str, decoded: str, held_out: str) -> DataFrame:
+    """(offset, reflected, train_error, test_error): turn and reflection that fit the rows where the
+    truth column held_out is false best, and the mean angular error on these and on the others."""
+    best = circular_alignment(df.filter(~F.col(held_out)), truth, decoded)
+    both = df.filter(F.col(truth).isNotNull() & F.col(decoded).isNotNull()).crossJoin(F.broadcast(best))  # one row
+    turned = F.when(F.col("reflected"), -F.col(decoded)).otherwise(F.col(decoded)) + F.col("offset")
+    miss = F.abs(F.pmod(turned - F.col(truth) + np.pi, F.lit(2 * np.pi)) - np.pi)
+    return both.groupBy("offset", "reflected").agg(F.avg(F.when(~F.col(held_out), miss)).alias("train_error"), F.avg(F.when(F.col(held_out), miss)).alias("test_error"))
+
+
+def forest_decoder(df: DataFrame, targets: list[str], trees: int = 20, depth: int = 3, leaf: int = 50, seed: int = 42) -> DataFrame:
+    """(target, n_train, n_test, r2): a random forest from features to each target, fitted to the half
+    of the rows that the hash of their id names and judged on the other; r2 is not below 0."""
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.regression import RandomForestRegressor
+
+    rows = df.select("id", array_to_vector("features").alias("features"), *targets).withColumn("_test", F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(2)) == 1)
+    out = []
+    for target in targets:
+        some = rows.filter(F.col(target).isNotNull() & ~F.isnan(F.col(target).cast("double"))).withColumn(target, F.col(target).cast("double"))
+        model = RandomForestRegressor(labelCol=target, predictionCol="_p", numTrees=trees, maxDepth=depth, minInstancesPerNode=leaf, seed=seed).fit(some.filter("not _test"))
+        m = model.transform(some.filter("_test")).agg(F.count("*").alias("n_test"), F.avg((F.col(target) - F.col("_p")) ** 2).alias("_e"), F.var_pop(target).alias("_v"))
+        n = some.filter("not _test").agg(F.count("*").alias("n_train"))
+        out.append(n.crossJoin(m).select(F.lit(target).alias("target"), "n_train", "n_test", F.greatest(F.lit(0.0), 1 - F.try_divide(F.col("_e"), F.col("_v"))).alias("r2")))  # one row each
+    every = out[0]
+    for x in out[1:]:
+        every = every.unionByName(x)
+    return every

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions.special import digamma_sql
 from tessella.operators import conditional as C
+from tessella.operators import embedding as E
 from tessella.operators import information as I
 from tessella.operators import kinetics as K
 from tessella.operators import manifold as M
@@ -128,6 +129,12 @@ def reconstruction(spark, d):
     return _r(M.reconstruction_score(ev, "a", "b", 0.5), "error", "correlation", "score")
 
 
+def alignment_held_out(spark, d):
+    """Hours of the day against numbers of events: the best turn for most rows, and its error on the others."""
+    ev = read(spark, d, "events").select((F.hour(F.col("ts").cast("timestamp")) * (2 * math.pi / 24)).alias("a"), (F.pmod("event_id", F.lit(24)) * (2 * math.pi / 24)).alias("b"), (F.col("event_id") % 5 == 0).alias("held"))
+    return _r(E.alignment_quality(ev, "a", "b", "held"), "offset", "train_error", "test_error")
+
+
 def neighbour_entropies(spark, d):
     return models._arrays(spark, d).select("series", F.round(K.neighbour_entropy("values", F.lit(5)), 6).alias("entropy"))
 
@@ -160,7 +167,7 @@ rdm_euclidean, rdm_manhattan, rdm_cosine, rdm_of_medians = _rdm("euclidean"), _r
 
 _NAMES = [
     masked_frames, shuffled_intervals, analytic_signal, events_iterative, rate_map_smoothed, place_fields, cross_correlations, multivariate, radius_neighbours, radius_counts, knn_cityblock,
-    knn_callable, knn_graph, correlation_dimension, stress, eps_graph, procrustes, reconstruction, neighbour_entropies, reconstructed_steps, frames_joined, event_minutes,
+    knn_callable, knn_graph, correlation_dimension, stress, eps_graph, procrustes, reconstruction, alignment_held_out, neighbour_entropies, reconstructed_steps, frames_joined, event_minutes,
 ]
 
 
@@ -247,4 +254,5 @@ def oracle_sql():
         "mi_ksg": f"WITH {HOURLY}, s AS (SELECT series, t, value, stddev_pop(value) OVER (PARTITION BY series) AS sd, count(*) OVER (PARTITION BY series) AS n FROM hourly), v AS (SELECT series, t, n, value + 1e-10 * ((t * 0.6180339887) % 1) * sd AS x, value + 1e-10 * ((t * 0.7548776662) % 1) * sd AS y FROM s), p AS (SELECT a.series AS key_a, b.series AS key_b, a.t, a.n, a.x, b.y FROM v a JOIN v b ON a.t = b.t AND a.series < b.series), d AS (SELECT i.key_a, i.key_b, i.t, any_value(i.n) AS n, list(greatest(abs(i.x - j.x), abs(i.y - j.y)) ORDER BY greatest(abs(i.x - j.x), abs(i.y - j.y)))[5] AS eps FROM p i JOIN p j ON i.key_a = j.key_a AND i.key_b = j.key_b AND i.t <> j.t GROUP BY ALL), c AS (SELECT d.key_a, d.key_b, d.t, any_value(d.n) AS n, count(*) FILTER (WHERE abs(i.x - j.x) < eps) - 1 AS nx, count(*) FILTER (WHERE abs(i.y - j.y) < eps) - 1 AS ny FROM d JOIN p i ON i.key_a = d.key_a AND i.key_b = d.key_b AND i.t = d.t JOIN p j ON j.key_a = d.key_a AND j.key_b = d.key_b GROUP BY ALL) SELECT key_a, key_b, round(greatest(0, ({digamma_sql('5.0')} + {digamma_sql('any_value(n) * 1.0')} - avg({digamma_sql('nx + 1.0')} + {digamma_sql('ny + 1.0')})) / ln(2.0)), 6) AS mi FROM c GROUP BY key_a, key_b",
         "false_neighbours": f"WITH {HOURLY}, e AS (SELECT series, t, value AS x0, lead(value, 1) OVER w AS x1, lead(value, 2) OVER w AS x2, lead(value, 3) OVER w AS x3, stddev_pop(value) OVER (PARTITION BY series) AS sd FROM hourly WINDOW w AS (PARTITION BY series ORDER BY t)), {fnn(1)}, {fnn(2)}, {fnn(3)} {share(1)} UNION ALL {share(2)} UNION ALL {share(3)}",
         "aligned_angles": f"WITH e AS (SELECT hour(ts) * {2 * math.pi / 24!r} AS a, (event_id % 24) * {2 * math.pi / 24!r} AS b FROM events WHERE ts IS NOT NULL), k AS (SELECT a, b, count(*) AS n FROM e GROUP BY ALL), g AS (SELECT id, (id % 360) * {2 * math.pi / 360!r} AS \"offset\", id >= 360 AS reflected FROM (SELECT unnest(range(720)) AS id)), m AS (SELECT id, \"offset\", reflected, n, (CASE WHEN reflected THEN -b ELSE b END) + \"offset\" - a + pi() AS x FROM g, k), z AS (SELECT id, any_value(\"offset\") AS \"offset\", any_value(reflected) AS reflected, round(sum(n * abs((x - floor(x / (2 * pi())) * 2 * pi()) - pi())) / sum(n), 9) AS error FROM m GROUP BY id) SELECT round(\"offset\", 6) AS \"offset\", reflected, round(error, 6) AS error FROM z ORDER BY z.error, id LIMIT 1",
+        "alignment_held_out": f"WITH e AS (SELECT hour(ts) * {2 * math.pi / 24!r} AS a, (event_id % 24) * {2 * math.pi / 24!r} AS b, event_id % 5 = 0 AS held FROM events WHERE ts IS NOT NULL), k AS (SELECT a, b, count(*) FILTER (WHERE NOT held) AS n, count(*) FILTER (WHERE held) AS m FROM e GROUP BY ALL), g AS (SELECT id, (id % 360) * {2 * math.pi / 360!r} AS \"offset\", id >= 360 AS reflected FROM (SELECT unnest(range(720)) AS id)), m AS (SELECT id, \"offset\", reflected, n, k.m, (CASE WHEN reflected THEN -b ELSE b END) + \"offset\" - a + pi() AS x FROM g, k), z AS (SELECT id, any_value(\"offset\") AS \"offset\", any_value(reflected) AS reflected, round(sum(n * abs((x - floor(x / (2 * pi())) * 2 * pi()) - pi())) / sum(n), 9) AS error, sum(m.m * abs((x - floor(x / (2 * pi())) * 2 * pi()) - pi())) / sum(m.m) AS test FROM m GROUP BY id) SELECT round(\"offset\", 6) AS \"offset\", reflected, round(error, 6) AS train_error, round(test, 6) AS test_error FROM z ORDER BY z.error, id LIMIT 1",
     }

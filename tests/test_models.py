@@ -186,3 +186,31 @@ def test_rise_hooks_and_entropy(spark):
     rng = np.random.default_rng(0)
     e = spark.createDataFrame([(rng.uniform(0, 4, 3000).tolist(),), (rng.normal(size=3000).tolist(),), ([1.0],)], "v array<double>").select(kinetics.neighbour_entropy("v", F.lit(5)).alias("e")).collect()
     assert abs(e[0].e - 2) < 0.1 and abs(e[1].e - 0.5 * math.log2(2 * math.pi * math.e)) < 0.1 and e[2].e is None
+
+
+def test_clusters_and_curves_by_the_iterative_methods(spark):
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(3, 6)) * 8
+    x = np.concatenate([c + rng.normal(size=(40, 6)) for c in centres])
+    label = np.repeat(range(3), 40)
+    p = spark.createDataFrame(pd.DataFrame({"id": np.arange(120), "features": x.tolist()}))
+    for method in ("tsne", "umap"):
+        y = np.array(embedding.embed(p, embedding.landmarks_of(p), method, 2, neighbours=10).toPandas().sort_values("id").features.tolist())
+        d = embedding.distances(y, y) + np.diag(np.full(120, np.inf))
+        assert np.isfinite(y).all() and (label[d.argmin(axis=1)] == label).mean() > 0.95
+    t = rng.uniform(0, 1.5 * np.pi, 300)
+    curve = np.column_stack([np.cos(t), np.sin(t), 0.3 * t])
+    y = embedding.fit(curve, "hlle", 1, neighbours=16)[0][:, 0]
+    assert abs(np.corrcoef(np.argsort(np.argsort(y)), np.argsort(np.argsort(t)))[0, 1]) > 0.95
+
+
+def test_decoders(spark):
+    rng = np.random.default_rng(7)
+    x = rng.uniform(-1, 1, size=(1200, 3))
+    df = spark.createDataFrame(pd.DataFrame({"id": np.arange(1200), "features": x.tolist(), "px": (x[:, 0] > 0).astype(float), "py": rng.normal(size=1200)}))
+    r = {v.target: v for v in embedding.forest_decoder(df, ["px", "py"]).collect()}
+    assert r["px"].r2 > 0.7 and r["py"].r2 < 0.1 and r["px"].n_train + r["px"].n_test == 1200
+    a = rng.uniform(0, 2 * np.pi, 500)
+    turned = spark.createDataFrame(pd.DataFrame({"a": a, "b": np.mod(1.0 - a, 2 * np.pi), "held": np.arange(500) % 4 == 0}))
+    q = embedding.alignment_quality(turned, "a", "b", "held").first()
+    assert q.reflected and q.train_error < 0.01 and q.test_error < 0.01 and abs(q.offset - 1.0) < 0.02
