@@ -32,7 +32,7 @@ from tessella.operators.ordering import sorted_runs
 from tessella.session import cut
 
 #: Weights of contents and name in the likeness of two fields, and the least likeness of a rename.
-CONTENT_WEIGHT, NAME_WEIGHT, LEAST = 0.6, 0.4, 0.39
+CONTENT_WEIGHT, NAME_WEIGHT, LEAST = 0.6, 0.4, 0.36
 #: Where contents tell nothing (booleans, nulls), names must be at least this alike.
 LEAST_NAME = 0.3
 #: The likeness of two fields of one type of which neither contents nor names tell much: truth
@@ -40,8 +40,6 @@ LEAST_NAME = 0.3
 WEAK, SHARED, FEW = 0.15, 0.2, 3
 #: Distinct field names one table may have.
 MAX_FIELDS = 2_000
-#: Words of a field's name that say nothing about its contents.
-IDLE_WORDS = {"has", "is", "present", "n", "num", "count", "key", "name", "list", "the", "of"}
 
 CHANGE = T.StructType(
     [
@@ -73,18 +71,17 @@ def _words(name: str) -> list[str]:
 
 
 def name_likeness(a: str, b: str) -> float:
-    """Share of the telling words that two names have in common; a short word may abbreviate."""
+    """Share of the words that two names have in common; a short word may abbreviate."""
     x, y = _words(a), _words(b)
     if x == y:
         return 1.0
-    tx, ty = [w for w in x if w not in IDLE_WORDS] or x, [w for w in y if w not in IDLE_WORDS] or y
 
     def same(u: str, v: str) -> bool:
         short, long = sorted((u, v), key=len)
         return u == v or (len(short) >= 2 and long.startswith(short)) or (len(short) >= 6 and short[:6] == long[:6])
 
-    hits = sum(any(same(u, v) for v in ty) for u in tx)
-    return 2 * hits / (len(tx) + len(ty)) if hits <= min(len(tx), len(ty)) else 1.0
+    hits = sum(any(same(u, v) for v in y) for u in x)
+    return 2 * hits / (len(x) + len(y)) if hits <= min(len(x), len(y)) else 1.0
 
 
 def sketch(old: dict | None, v: object) -> dict:
