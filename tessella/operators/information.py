@@ -87,7 +87,9 @@ def pair_correlations(df: DataFrame, key: str, on: str, value: str) -> DataFrame
             for r, cells in enumerate(pdf["x"]):
                 i = [at[c["k"]] for c in cells]
                 x[r, i], m[r, i] = [c["v"] for c in cells], 1.0
-            total += np.stack([m.T @ m, x.T @ m, (x * x).T @ m, x.T @ x])
+            # one matrix at a time, so that no more than one is held besides the sums
+            for t, (a, b) in enumerate(((m, m), (x, m), (x * x, m), (x, x))):
+                total[t] += a.T @ b
         yield pd.DataFrame({"i": np.arange(k), "sums": [total[:, i, :].ravel().tolist() + total[1:3, :, i].ravel().tolist() for i in range(k)]})
 
     schema = T.StructType([T.StructField("key_a", kind), T.StructField("key_b", kind), T.StructField("r", T.DoubleType()), T.StructField("n", T.LongType())])
