@@ -4,7 +4,8 @@ Cells are told once, by one aggregation over entity and attribute, and stored as
 attribute with the typed value and the state of each cell; all of them lie in the same buckets by
 entity, so that they are joined as they lie, without another shuffle. They are combined through a
 balanced tree of outer joins on the entity with FAN tables at each node. Each inner node is written
-out: a single stage that joins all tables would hold a sort buffer for each of them at once.
+out: a single stage that joins all tables would hold a sort buffer for each of them at once. No table
+is broadcast: each has up to a row per entity, and a small file may hold millions of them.
 
 Defined results
 - attribute names: case, surrounding blanks, blanks and hyphens don't matter; names that the type
@@ -141,13 +142,13 @@ def cells(rows: DataFrame, types: Mapping[str, str]) -> DataFrame:
             node = spine
             for n in names:
                 cell = F.struct(F.col(f"value_{types[n]}").alias("value"), "unreadable", "conflict")
-                node = node.join(narrow.filter(F.col("_attr") == n).select("entity_id", cell.alias(n)), "entity_id", "left_outer")
+                node = node.join(narrow.filter(F.col("_attr") == n).select("entity_id", cell.alias(n)).hint("merge"), "entity_id", "left_outer")
             return node
         step = -(-len(names) // FAN)
         parts = [bucketed(tree(names[i : i + step]), buckets) for i in range(0, len(names), step)]
         node = parts[0]
         for p in parts[1:]:
-            node = node.join(p, "entity_id", "left_outer")
+            node = node.join(p.hint("merge"), "entity_id", "left_outer")
         return node
 
     return tree(list(types))

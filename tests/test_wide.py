@@ -40,3 +40,10 @@ def test_empty_and_long_values(spark):
     rows = table(spark, [(1, "mouse", long, T0), (1, "n_events", long, T0), (1, "mouse", long, T0)])
     assert wide.widen(rows, TYPES).first().mouse == long
     assert [tuple(r) for r in wide.faults(rows, TYPES).collect()] == [(1, "n_events", "unreadable")]
+
+
+def test_no_table_is_broadcast_however_small_its_file(spark):
+    rows = table(spark, [(e, a, "1", T0) for e in range(50) for a in ("me", "n_events", "mouse", "a", "b", "c")])
+    for names in (["me", "n_events"], list(TYPES)):  # one node, and a tree of nodes
+        plan = wide.cells(rows, {n: TYPES[n] for n in names})._jdf.queryExecution().executedPlan().toString()
+        assert "Broadcast" not in plan and "SortMergeJoin" in plan and "Exchange" not in plan
