@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -132,3 +133,59 @@ def test_empty(spark):
     assert leaked(docs.limit(0), items).count() == 0
     assert leaked(docs, items.limit(0)).count() == 0
     assert leaked(docs.filter(F.col("text").isNull()), items, LeakLimits(words=5)).count() == 0
+
+
+def case_by_case(docs, items, limits):
+    """(document, item, places) by looking at every document and item, whatever they share."""
+    p = leaks.Phrases.of(list(enumerate(items)))
+    search, out = leaks.Search(p, [], limits), []
+    for d, text in enumerate(Folder().words(x) for x in docs):
+        at = {}
+        for i in range(len(text) - limits.seed + 1):
+            at.setdefault(tuple(text[i : i + limits.seed]), []).append(i)
+        rows = []
+        for k in range(len(items)):
+            hits = sorted((i, -place) for place in range(p.begin[k + 1] - p.begin[k] - limits.seed + 1) for i in at.get(p.words(k, place, place + limits.seed), []))
+            words = search.words(k, np.array([-x for _, x in hits], int), np.array([x for x, _ in hits], int))
+            if words:
+                rows.append((d, k, *map(list, zip(*words))))
+        if rows:
+            out += [(d, i, tuple(at)) for d, i, _, at in leaks.settle(pd.DataFrame(rows, columns=["doc_id", "item_id", "item_at", "doc_at", "equal"]), limits).itertuples(index=False)]
+    return sorted(out)
+
+
+def by_index(docs, items, limits):
+    search, fm = leaks.Search(leaks.Phrases.of(list(enumerate(items))), [], limits), FMIndex.build([Folder().words(x) for x in docs])
+    return sorted((d, i, tuple(at)) for d, group in search.found(fm) for i, at in leaks.settle_hits(group, search))
+
+
+@pytest.mark.parametrize("held", [1, 5_000, 1_000_000])
+def test_passages_of_nothing_but_common_phrases_are_found(held, monkeypatch):
+    """Six phrases that stand in all of 60 items and 60 documents, and between them altered words."""
+    monkeypatch.setattr(leaks, "PAIRS", held)
+    rng = random.Random(5)
+    parts = [" ".join(WORDS[3 * k : 3 * k + 3]) for k in range(6)]
+    own = iter(a + b for a in WORDS[20:] for b in WORDS[20:])
+    mixed = lambda order: " ".join(f"{parts[k]} {next(own)}" for k in order)
+    orders = [rng.sample(range(6), 6) for _ in range(60)]
+    items = [mixed(o) for o in orders]
+    docs = [mixed(orders[7]), *[mixed(rng.sample(range(6), 6)) for _ in range(59)]]
+    got = by_index(docs, items, LeakLimits())
+    assert got == case_by_case(docs, items, LeakLimits())
+    assert (0, 7) in {(d, i) for d, i, _ in got}
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_bounds_leave_out_no_case(seed):
+    """Passages of about the least length with words altered, left out and put in."""
+    rng = random.Random(seed)
+    items = [" ".join(rng.choice(WORDS[:30]) for _ in range(40)) for _ in range(12)]
+    docs = []
+    for _ in range(150):
+        a = rng.randrange(20)
+        w = items[rng.randrange(12)].split()[a : a + rng.randint(14, 20)]
+        for _ in range(rng.randint(0, 4)):
+            i = rng.randrange(len(w))
+            w[i : i + 1] = rng.choice([["altered"], [], [w[i], "added"]])
+        docs.append(" ".join(["before", *w, "after"]))
+    assert by_index(docs, items, LeakLimits()) == case_by_case(docs, items, LeakLimits())
